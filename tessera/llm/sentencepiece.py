@@ -2,8 +2,8 @@
 
 No piece of the model holds a white-space marker after another character, and none holds a line break, so the text may
 be cut before each run of spaces and around each line break without changing its segmentation. Each task cuts its texts
-in place (one offset array over the same bytes), segments every distinct chunk of a slice once, keeps those results in a
-bounded table for the next slices, and joins the ids back by position. Decoding goes the other way: each id's bytes
+in place (one offset array over the same bytes), segments every distinct chunk of a slice of SLICE_BYTES once, and joins
+the ids back by position; nothing is shuffled. Decoding goes the other way: each id's bytes
 are taken by id and joined per document.
 
 Defined results: a null text has null ids and a null decoded text; an empty one has no ids; the text may be of any
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,10 @@ from pyspark.sql import types as T
 from tessera.llm import text as X
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: A task's table of distinct chunks is started anew beyond so many.
-TABLE_CHUNKS = 150_000
+#: Bytes of text that share one table of distinct chunks; a longer text has one of its own.
+SLICE_BYTES = 16 << 20
+#: Distinct chunks that the model sees at once, a line each.
+LINES = 256
 MARK = "▁"
 
 
@@ -46,27 +47,30 @@ class Codec:
         if self.model.is_unknown(self.model.unk_id()):
             raw[self.model.unk_id()] = " ⁇ ".encode()
         self.bytes = pa.array(raw, pa.binary())
-        self._clear()
-
-    def _clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-
-    def _segment(self, chunk: list[str]) -> list[list[int]]:
-        """Ids of chunks in a text, where a leading space is the marker that stands before a text anyway."""
-        spaced = [c[1:] if c[:1] == " " else c for c in chunk]
-        got = self.model.encode(spaced, out_type=int, num_threads=1)
-        # a chunk that doesn't begin with a space has no marker: segment it behind a line break and drop what that gave
-        bare = [k for k, c in enumerate(chunk) if c[:1] != " "]
-        if bare:
-            head = len(self.model.encode("\n", out_type=int))
-            for k, ids in zip(bare, self.model.encode(["\n" + chunk[k] for k in bare], out_type=int, num_threads=1)):
-                got[k] = ids[head:]
-        # encoding "" gives nothing, but a chunk that is one space is one marker
-        for k, c in enumerate(chunk):
-            if c == " ":
-                got[k] = [self.model.piece_to_id(MARK)]
-        return got
+
+    def _segment(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks and each one's offset among them.
+
+        Chunks stand in lines of one text: a line break, which no piece holds, parts their ids again.
+        """
+        breaks = pc.equal(chunks, "\n").to_numpy(zero_copy_only=False)
+        lines = pc.if_else(pa.array(breaks), "", chunks) if breaks.any() else chunks
+        values, ends, base = [], [np.zeros(1, np.int64)], 0
+        for at in range(0, len(lines), LINES):
+            part = lines.slice(at, LINES)
+            one = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), "\n")[0].as_py()
+            ids = np.array(self.model.encode("\n" + one + "\n", out_type=int), np.int32)
+            parts = np.flatnonzero(ids == self.newline)
+            ids = ids[parts[0] + 1 :]
+            parts = parts[1:] - parts[0] - 1
+            values.append(np.delete(ids, parts))
+            ends.append(base + parts - np.arange(len(parts)))
+            base = int(ends[-1][-1])
+        values, off = np.concatenate(values), np.concatenate(ends)
+        for k in np.flatnonzero(breaks):
+            values = np.insert(values, off[k], self.newline)
+            off[k + 1 :] += 1
+        return values, off
 
     def encode(self, text: pa.Array) -> pa.Array:
         """The ids of each text, as lists of int32."""
@@ -90,18 +94,8 @@ class Codec:
         offsets = np.append(begin, len(grown)).astype(np.int32)
         chunks = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(grown)))
         table = chunks.dictionary_encode()
-        names = table.dictionary.to_pylist()
-        new = [c for c in names if c not in self.code]
-        if len(self.code) + len(new) > TABLE_CHUNKS:
-            self._clear()
-            new = names
-        for c, ids in zip(new, self._segment(new)):
-            self.code[c] = len(self.ids)
-            self.ids.append(ids)
-        ids = [self.ids[self.code[c]] for c in names]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        values = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
-        start = np.cumsum(size) - size
+        values, start = self._segment(table.dictionary)
+        size = np.diff(start)
         code = table.indices.to_numpy()
         n = size[code]
         to = np.concatenate(([0], np.cumsum(n)))
@@ -135,7 +129,7 @@ def _null_where(values: pa.Array, like: pa.Array) -> pa.Array:
 
 def _coded(text: pa.Array, path: str, decode: bool) -> tuple[pa.Array, pa.Array | None]:
     c = codec(path)
-    parts = [text.slice(a, b - a) for a, b in X.slices(text)]
+    parts = [text.slice(a, b - a) for a, b in X.slices(text, SLICE_BYTES)]
     ids = [c.encode(t) for t in parts]
     back = [c.decode(i) for i in ids] if decode else []
     one = lambda x, kind: _null_where(pa.concat_arrays(x) if x else pa.array([], kind), text)

@@ -105,12 +105,12 @@ def _hashed(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def slices(text: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about SLICE_BYTES of text each."""
+def slices(text: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about size bytes of text each."""
     _, row = flat(text)
     at, n = 0, len(row) - 1
     while at < n:
-        to = min(n, max(at + 1, int(np.searchsorted(row, row[at] + SLICE_BYTES, "right")) - 1))
+        to = min(n, max(at + 1, int(np.searchsorted(row, row[at] + size, "right")) - 1))
         yield at, to
         at = to
 
