@@ -105,6 +105,13 @@ def _hashed(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def beginnings(w: Words, n: int) -> np.ndarray:
+    """Hashes of each word's first n bytes, at most 8."""
+    padded = np.concatenate((w.data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(w.data) + 1, "<u8", padded, strides=(1,))
+    return mix((eight[w.begin] & _LOW[np.minimum(w.end - w.begin, n)]) * _ODD[1] + np.uint64(n))
+
+
 def slices(text: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about size bytes of text each."""
     _, row = flat(text)
