@@ -39,6 +39,8 @@ THRESHOLD = 0.5
 BANDS, ROWS = 48, 4
 STEP = 16
 TOLERANCE = 1e-4
+#: Pairs that are verified together, about.
+BLOCK_PAIRS = 20_000
 #: Sets of ids of up to so many are broadcast to the scan of the documents; larger ones are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -153,12 +155,13 @@ def _gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = X.words(batch.column(1).slice(a, b - a))
             grams, off = X.ngrams(w.hash, w.off, NGRAM)
             row = np.repeat(np.arange(b - a), np.diff(off))
+            grams = grams.view(np.int64)
             order = np.lexsort((grams, row))
             row, grams = row[order], grams[order]
             first = np.ones(len(row), bool)
             first[1:] = (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])
             to = np.searchsorted(row[first], np.arange(b - a + 1))
-            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(grams[first].view(np.int64)))], names=["node", "grams"])
+            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(grams[first]))], names=["node", "grams"])
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -185,14 +188,52 @@ def pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     with_sigs = candidates.join(compared.select(F.col("node").alias("doc_a"), F.col("sig").alias("sig_a")), "doc_a").join(compared.select(F.col("node").alias("doc_b"), F.col("sig").alias("sig_b")), "doc_b")
     left = cut(with_sigs.select("doc_a", "doc_b", "sig_a", "sig_b").mapInArrow(prune, "doc_a long, doc_b long").distinct())
 
-    sets = cut(only(slim, _ends(left)).mapInArrow(_gram_sets, "node long, grams array<long>"))
-    both = left.join(sets.select(F.col("node").alias("doc_a"), F.col("grams").alias("grams_a")), "doc_a").join(sets.select(F.col("node").alias("doc_b"), F.col("grams").alias("grams_b")), "doc_b")
-    common = F.size(F.array_intersect("grams_a", "grams_b"))
-    exact = both.select("doc_a", "doc_b", (common / (F.size("grams_a") + F.size("grams_b") - common)).alias("jaccard"))
-    exact = exact.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")).where(F.col("jaccard") >= threshold)
+    sets = only(slim, _ends(left)).mapInArrow(_gram_sets, "node long, grams array<long>")
+    blocks = cut(_blocks(left))
+    key = ["label", "part_a", "part_b"]
+    needed = blocks.select(*key, F.col("doc_a").alias("node")).union(blocks.select(*key, "doc_b")).distinct().join(sets, "node")
+    needed = needed.select(*(F.col(c).alias(f"of_{c}") for c in key), "node", "grams")
+    exact = needed.groupBy(*(f"of_{c}" for c in key)).cogroup(blocks.groupBy(*key)).applyInArrow(_verified(threshold), "doc_a long, doc_b long, jaccard double")
     return stars.unionByName(exact).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def _blocks(edges: DataFrame) -> DataFrame:
+    """edges in blocks of about BLOCK_PAIRS that share many nodes, so that a node's n-grams travel once per block.
+
+    A block is the edges whose first node has the same lowest neighbour; a larger one is split by both nodes.
+    """
+    lowest = edges.select(F.col("doc_a").alias("node"), F.col("doc_a").alias("label")).union(edges.select("doc_b", "doc_a")).groupBy("node").agg(F.min("label").alias("label"))
+    labelled = edges.join(lowest.withColumnRenamed("node", "doc_a"), "doc_a")
+    splits = labelled.groupBy("label").count().select("label", F.ceil(F.sqrt(F.col("count") / BLOCK_PAIRS)).alias("splits"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("splits")).cast("int")
+    return labelled.join(splits, "label").select("label", part("doc_a").alias("part_a"), part("doc_b").alias("part_b"), "doc_a", "doc_b")
+
+
+def _verified(threshold: float):
+    """The exact Jaccard similarity of a block's pairs, from the n-gram sets of its nodes."""
+
+    def verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        of: dict[int, list[np.ndarray]] = {}
+        grams = sets.column("grams").combine_chunks()
+        values, off = grams.values.to_numpy(), grams.offsets.to_numpy()
+        for k, node in enumerate(sets.column("node").to_pylist()):
+            of.setdefault(node, []).append(values[off[k] : off[k + 1]])
+        a, b = pairs.column("doc_a").to_numpy(), pairs.column("doc_b").to_numpy()
+        out = np.zeros(len(a))
+        order = np.argsort(a, kind="stable")
+        for k, (x, y) in zip(order, zip(a[order], b[order])):
+            for one in of.get(x, ()):
+                for two in of.get(y, ()):
+                    small, large = (one, two) if len(one) < len(two) else (two, one)
+                    at = np.searchsorted(large, small)
+                    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                    out[k] = max(out[k], common / (len(one) + len(two) - common))
+        ok = out >= threshold
+        return pa.table({"doc_a": a[ok], "doc_b": b[ok], "jaccard": out[ok]})
+
+    return verify
+
+
 def _ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("doc_a").alias("node")).union(edges.select("doc_b")).distinct()
 
