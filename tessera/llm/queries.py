@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, near_duplicates, quality_classifier, quality_rules, sentencepiece, suffix_dedup, toxicity, url_rules
+from tessera.llm import decontaminate, lm_scoring, near_duplicates, quality_classifier, quality_rules, sentencepiece, suffix_dedup, toxicity, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.flagged(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(_read(spark, sf_dir, "documents"))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(_read(spark, sf_dir, "pages"), url_rules.rule_table(spark))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_url_rules": op8_url_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
