@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, lm_scoring, near_duplicates, quality_classifier, quality_rules, sentencepiece, suffix_dedup, toxicity, url_rules
+from tessera.llm import decontaminate, license_scan, lm_scoring, near_duplicates, quality_classifier, quality_rules, sentencepiece, suffix_dedup, toxicity, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(_read(spark, sf_dir, "pages"), url_rules.rule_table(spark))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(_read(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.passages(_read(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_url_rules": op8_url_rules,
+    "op9_license_scan": op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
