@@ -1,40 +1,69 @@
-"""The corpus pipeline: each stage's documents are written as Parquet and read again by the next."""
+"""The corpus pipeline: each stage's documents are written as Parquet and read again by the next.
+
+Stages: the quality classifier rejects documents; the n-gram Jaccard join leaves one document of each group; suffix-array
+dedup cuts repeated passages out of the texts of all but their first document; benchmark decontamination drops documents
+that overlap with an item; SentencePiece appends the ids of each text (token_ids, n_tokens) and whether they decode to
+the text again (round_trip).
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, sentencepiece
+from tessera.llm import decontaminate, near_duplicates, quality_classifier, sentencepiece, suffix_dedup
+from tessera.plans.ship import ship
+
+
+def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality_classifier.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def leave_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return near_duplicates.one_of_each_group(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return suffix_dedup.without_repeats(docs)
 
 
 def leave_out_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece.encode(docs)
+    ship(spark)
+    return sentencepiece.encode_checked(docs)
 
 
 STAGES = [
+    ("quality classifier", reject_bad),
+    ("n-gram Jaccard join", leave_one_of_each_group),
+    ("suffix-array dedup", cut_repeats),
     ("benchmark decontamination", leave_out_benchmark),
-    ("SentencePiece encoding", tokens),
+    ("SentencePiece encoding and decoding", tokens),
 ]
 
-#: Some stages can't be expressed in SQL; tests hold the rows against a brute-force version.
+#: A trained classifier, MinHash candidates and suffix sorting can't be expressed in SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Between stages the rows lie in the shared folder of spark.checkpoint.dir."""
-    import os
-    import tempfile
-    import uuid
-
     root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tessera-pipeline-")
-    home = os.path.join(root, f"pipeline-{uuid.uuid4().hex}")
+    home = f"{root}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{home}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/{k - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs

@@ -8,8 +8,8 @@ are taken by id and joined per document.
 
 Defined results: a null text has null ids and a null decoded text; an empty one has no ids; the text may be of any
 length; ids are those of encoding each whole text at once. Decoding gives back the text, but that a literal U+2581 comes
-back as a space. Repeated rows are encoded each. encode() appends token_ids and n_tokens and replaces columns of those
-names; all other columns pass through.
+back as a space. Repeated rows are encoded each. encode() appends token_ids and n_tokens, encode_checked() also
+round_trip, and replaces columns of those names; all other columns pass through.
 """
 
 from __future__ import annotations
@@ -136,20 +136,28 @@ def _coded(text: pa.Array, path: str, decode: bool) -> tuple[pa.Array, pa.Array
     return one(ids, pa.list_(pa.int32())), one(back, pa.string()) if decode else None
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """docs with token_ids array<int> and n_tokens int; no shuffle."""
-    docs = docs.drop("token_ids", "n_tokens")
+def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFrame:
+    """docs with token_ids array<int> and n_tokens int, and with check round_trip boolean; no shuffle."""
+    added = ["token_ids", "n_tokens", *(["round_trip"] if check else [])]
+    docs = docs.drop(*added)
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())])
+    kinds = [T.ArrayType(T.IntegerType()), T.IntegerType(), T.BooleanType()]
+    schema = T.StructType([*docs.schema, *(T.StructField(n, k) for n, k in zip(added, kinds))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, _ = _coded(batch.column(at), model, False)
-            yield pa.record_batch([*batch.columns, ids, pc.list_value_length(ids)], names=[*batch.schema.names, "token_ids", "n_tokens"])
+            ids, back = _coded(batch.column(at), model, check)
+            new = [ids, pc.list_value_length(ids), *([pc.equal(back, batch.column(at))] if check else [])]
+            yield pa.record_batch([*batch.columns, *new], names=[*batch.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
 
 
+def encode_checked(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """docs with token_ids, n_tokens and round_trip: whether the ids decode to the text again."""
+    return encode(docs, model, True)
+
+
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """encoded with decoded string, the text of its token_ids."""
     encoded = encoded.drop("decoded")
