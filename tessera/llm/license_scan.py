@@ -296,8 +296,10 @@ def found(text: pa.Array, s: Scanner) -> list[tuple[int, int, str, float, float]
 
 def train(docs: DataFrame) -> Scanner:
     """Fitted with at most SAMPLE documents of docs, those of lowest hash, as ordinary text."""
-    few = docs.where("text IS NOT NULL").orderBy(F.xxhash64("text"), "text").limit(SAMPLE).select("text")
-    return fit(pa.array(few.toArrow().column("text").to_pylist(), pa.string()))
+    hashed = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h"))
+    most = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # hashes alone are sorted, no texts
+    few = [] if most is None else hashed.where(F.col("h") <= most).distinct().toArrow().sort_by([("h", "ascending"), ("text", "ascending")]).column("text").to_pylist()
+    return fit(pa.array(few[:SAMPLE], pa.string()))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
