@@ -38,7 +38,7 @@ METRICS = {
     "inner_product": "inner_product", "mip": "inner_product", "maximum_inner_product": "inner_product",
     "cosine": "cosine",
 }
-ALGORITHMS = ("EXACT", "HNSW", "INT8_HNSW", "DISKBBQ", "NATIVE")
+ALGORITHMS = ("EXACT", "HNSW", "INT8_HNSW", "IVF", "NATIVE")
 MAX_DIMENSION = 4096
 
 

@@ -91,7 +91,7 @@ def build(df: DataFrame, fields: dict[str, Field], path: str, id_column: str = "
     """Write a new index; an index at path is an error."""
     rows = write_rows(df, fields, path, "error", id_column)
     for f in fields.values():
-        if f.kind is Kind.VECTOR and (f.algorithm or "").upper() in ("DISKBBQ", "INT8_HNSW"):
+        if f.kind is Kind.VECTOR and (f.algorithm or "").upper() in ("IVF", "INT8_HNSW"):
             bits = 8 if f.algorithm.upper() == "INT8_HNSW" else f.integer("bits", 4)
             made = ivf.build(rows, f.dimension, f.metric, f.integer("vectors_per_cluster", ivf.VECTORS_PER_CLUSTER), bits, f.params.get("rotate") == "true", vector_column=f.name)
             home = f"{path}/vectors/{f.name}"

@@ -15,7 +15,7 @@ def append(index: Index, batch: DataFrame, id_column: str = "_row_id") -> None:
 
     Rows that a retried batch brings again are left out. Clustered vector fields must be built anew.
     """
-    if any(f.kind is Kind.VECTOR and (f.algorithm or "").upper() in ("DISKBBQ", "INT8_HNSW") for f in index.fields.values()):
+    if any(f.kind is Kind.VECTOR and (f.algorithm or "").upper() in ("IVF", "INT8_HNSW") for f in index.fields.values()):
         raise ValueError("clustered vector fields can't be appended to: build the index again")
     index = Index(index.spark, index.path)
     last = index.rows.agg(F.max("_row_id")).first()[0]

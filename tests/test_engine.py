@@ -233,7 +233,7 @@ def test_few_or_equal_vectors_are_one_cluster_or_part_no_further(spark):
     assert ivf.search(ivf.build(df.limit(0), 2), [1, 2], 3).count() == 0
 
 
-def _declared(algorithm="DISKBBQ"):
+def _declared(algorithm="IVF"):
     return fields(
         Field("text", Kind.FULLTEXT), Field("n", Kind.SCALAR, Scalar.LONG), Field("tag", Kind.KEYWORD),
         Field("at", Kind.DATE), Field("vec", Kind.VECTOR, dimension=8, algorithm=algorithm, params={"metric": "l2", "vectors_per_cluster": "64"}),
@@ -246,7 +246,7 @@ def _table(spark, first, n, seed=3):
     return spark.createDataFrame(rows, "_row_id long, text string, n long, tag string, at long, vec array<float>")
 
 
-@pytest.mark.parametrize("algorithm", ["DISKBBQ", "INT8_HNSW", "HNSW", None])
+@pytest.mark.parametrize("algorithm", ["IVF", "INT8_HNSW", "HNSW", None])
 def test_written_index(spark, tmp_path, algorithm):
     df = _table(spark, 0, 400)
     made = I.build(df, _declared(algorithm), str(tmp_path / "x"))
