@@ -22,7 +22,7 @@ from tessera.config import metric as canonical
 from tessera.config import top_k
 from tessera.functions import metrics
 from tessera.functions.quantize import BITS, Codes, packed, quantize, restored, rotation, unpacked
-from tessera.operators.vector import best, knn_batch, matrix, rescored, restricted
+from tessera.operators.vector import best, knn, knn_batch, matrix, rescored, restricted
 from tessera.plans.lineage import cut
 
 VECTORS_PER_CLUSTER, LEAST_PER_CLUSTER = 384, 64
@@ -232,33 +232,31 @@ def search(index: Ivf, query, k: int, ratio: float | None = None, n_probe: int |
     q = metrics.normalized(q[None])[0] if index.metric == "cosine" else q
     original, q = q, q @ rotation(index.dimension) if index.rotated else q
     how = "dot_product" if index.metric == "cosine" else index.metric
-    order = _ranked(index, q, how)
-    if not order:
-        return index.postings.where("false").selectExpr("_row_id", "CAST(0 AS double) AS score")
     wanted = max(k, math.ceil(k * oversample))
-    sizes = np.cumsum([n for _, n in order])
-    budget = 2 * ratio * index.rows if ratio else max(2 * visit_ratio(index.rows, wanted) * index.rows, index.ratio * sizes[-1])
-    probes = n_probe or int(np.searchsorted(sizes, max(budget, 1))) + 1
+    clusters, total = index.centroids.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if not clusters:
+        return index.postings.where("false").selectExpr("_row_id", "CAST(0 AS double) AS score")
+    budget = 2 * ratio * index.rows if ratio else max(2 * visit_ratio(index.rows, wanted) * index.rows, index.ratio * total)
+    # as many clusters as the budget takes at their mean size; more if they turn out small, or hold too few candidates
+    probes = min(clusters, n_probe or math.ceil(max(budget, 1) * clusters / total))
     while True:
-        probes = min(probes, len(order))
-        hits = cut(_probe(index, [c for c, _ in order[:probes]], q, wanted, how, candidates))
-        if n_probe or probes == len(order) or hits.count() >= k:
-            break
-        probes *= 2
-    vectors = index.postings.where(F.col("cluster_id").isin([c for c, _ in order[:probes]])).select("_row_id", "vector").dropDuplicates(["_row_id"]) if raw is None else raw
+        order = _ranked(index, q, how, probes)
+        short = not n_probe and sum(n for _, n in order) < budget
+        if not short or probes == clusters:
+            hits = cut(_probe(index, [c for c, _ in order], q, wanted, how, candidates))
+            if n_probe or probes == clusters or hits.count() >= k:
+                break
+        probes = min(2 * probes, clusters)
+    vectors = index.postings.where(F.col("cluster_id").isin([c for c, _ in order])).select("_row_id", "vector").dropDuplicates(["_row_id"]) if raw is None else raw
     exact = rescored(hits, vectors, q if raw is None else original, how)
     return exact.limit(k)
 
 
-def _ranked(index: Ivf, q: np.ndarray, how: str) -> list[tuple[int, int]]:
-    """Clusters, best first, with their sizes; of parents only so many that their children can fill any budget."""
-    got = index.centroids.select("cluster_id", "n", "centroid").toArrow()  # a row per vectors_per_cluster rows
-    if not got.num_rows:
-        return []
-    ids, score = got.column("cluster_id").to_numpy(), metrics.scores(how, matrix(got.column("centroid").combine_chunks(), index.dimension), q)
-    at = np.lexsort((ids, -score))
-    n = got.column("n").to_numpy()
-    return [(int(ids[i]), int(n[i])) for i in at]
+def _ranked(index: Ivf, q: np.ndarray, how: str, many: int) -> list[tuple[int, int]]:
+    """The best clusters and their sizes; no others leave the executors."""
+    best = knn(index.centroids, q, many, how, id_column="cluster_id", vector_column="centroid")
+    got = best.join(index.centroids.select(F.col("cluster_id").alias("_row_id"), "n"), "_row_id").collect()
+    return [(r._row_id, r.n) for r in sorted(got, key=lambda r: (-r.score, r._row_id))]
 
 
 def _probe(index: Ivf, clusters: list[int], q: np.ndarray, k: int, how: str, candidates) -> DataFrame:
