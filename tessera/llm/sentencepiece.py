@@ -29,7 +29,7 @@ from tessera.llm import text as X
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that share one table of distinct chunks; a longer text has one of its own.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 #: Distinct chunks that the model sees at once, a line each.
 LINES = 256
 MARK = "▁"
@@ -127,13 +127,13 @@ def _null_where(values: pa.Array, like: pa.Array) -> pa.Array:
     return values if not like.null_count else pc.if_else(pc.is_null(like), pa.scalar(None, values.type), values)
 
 
-def _coded(text: pa.Array, path: str, decode: bool) -> tuple[pa.Array, pa.Array | None]:
+def _coded(text: pa.Array, path: str, decode: bool) -> Iterator[tuple[int, int, pa.Array, pa.Array | None]]:
+    """(first row, row after the last, ids, decoded text or None), slice by slice."""
     c = codec(path)
-    parts = [text.slice(a, b - a) for a, b in X.slices(text, SLICE_BYTES)]
-    ids = [c.encode(t) for t in parts]
-    back = [c.decode(i) for i in ids] if decode else []
-    one = lambda x, kind: _null_where(pa.concat_arrays(x) if x else pa.array([], kind), text)
-    return one(ids, pa.list_(pa.int32())), one(back, pa.string()) if decode else None
+    for a, b in X.slices(text, SLICE_BYTES):
+        part = text.slice(a, b - a)
+        ids = c.encode(part)
+        yield a, b, _null_where(ids, part), _null_where(c.decode(ids), part) if decode else None
 
 
 def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFrame:
@@ -146,9 +146,10 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, back = _coded(batch.column(at), model, check)
-            new = [ids, pc.list_value_length(ids), *([pc.equal(back, batch.column(at))] if check else [])]
-            yield pa.record_batch([*batch.columns, *new], names=[*batch.schema.names, *added])
+            for a, b, ids, back in _coded(batch.column(at), model, check):
+                part = batch.slice(a, b - a)
+                new = [ids, pc.list_value_length(ids), *([pc.equal(back, part.column(at))] if check else [])]
+                yield pa.record_batch([*part.columns, *new], names=[*batch.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
 
@@ -175,11 +176,5 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, token_ids, n_tokens, and whether the ids decode to the text again; both ways in one pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, back = _coded(batch.column(1), model, True)
-            yield pa.record_batch([batch.column(0), ids, pc.list_value_length(ids), pc.equal(back, batch.column(1))], names=["doc_id", "token_ids", "n_tokens", "round_trip"])
-
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean")
+    return encode(slim, model, True).drop("text")

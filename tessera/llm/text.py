@@ -6,7 +6,9 @@ slice at once.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -112,6 +114,20 @@ def beginnings(w: Words, n: int) -> np.ndarray:
     return mix((eight[w.begin] & _LOW[np.minimum(w.end - w.begin, n)]) * _ODD[1] + np.uint64(n))
 
 
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except AttributeError:  # another C library than glibc
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back: workers live on from stage to stage, and what one of them keeps the next can't use."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(text: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about size bytes of text each."""
     _, row = flat(text)
@@ -120,6 +136,7 @@ def slices(text: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         to = min(n, max(at + 1, int(np.searchsorted(row, row[at] + size, "right")) - 1))
         yield at, to
         at = to
+    release()
 
 
 def hash_words(phrase: str) -> np.ndarray:
