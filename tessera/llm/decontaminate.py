@@ -1,12 +1,12 @@
 """Benchmark decontamination with spaced seeds.
 
-Fixed masks over SPAN word positions ignore some of the positions, so a seed still hits where an ignored word was
-substituted. The hashes of the benchmark's masked windows are joined with those of the documents; around each hit the
+Fixed masks over a few word positions ignore some of the positions, so a seed still hits where an ignored word was
+substituted. The masks of each length of item are chosen so that every pattern of substitutions that MIN_EQUAL allows
+in WINDOW words, or in all words of a shorter item, leaves at least one seed whole (tested by enumeration). The hashes of the benchmark's masked windows are joined with those of the documents; around each hit the
 item is laid over the document and the words are compared one by one, substitutions allowed.
 
 Defined results: a null or empty text has no words and matches nothing; an item of fewer than MIN_WORDS words is too
-short to be evidence and matches nothing; an item shorter than SPAN is sought by all its words; repeated item rows
-count once; a null doc_id or item_id is carried as it is; every repeated document row is reported. Of several places of
+short to be evidence and matches nothing; repeated item rows count once; a null doc_id or item_id is carried as it is; every repeated document row is reported. Of several places of
 one item in one document the one with most equal words is reported, the first of those that tie. Only the columns named
 here are read, so others may clash as they like; an empty table gives an empty result.
 """
@@ -25,12 +25,16 @@ from pyspark.sql import functions as F
 from tessera.llm import text as X
 from tessera.plans.lineage import cut
 
-MASKS = ("11101100111", "11011011011", "10111101101")
-SPAN = 11
 MIN_WORDS = 8
 #: A hit holds if in some WINDOW words of the item around it (all of a shorter item) so large a share is equal.
 WINDOW = 13
 MIN_EQUAL = 0.8
+#: The masks by the least number of words of an item: two substitutions in 13 words and in 10, one in 8.
+MASKS = {
+    13: ("1101110111", "11010011111", "11111010011", "111101111", "110011110101"),
+    10: ("1111011", "10101111", "110110011", "11001111", "111010101"),
+    8: ("1101111", "11110101", "10111011"),
+}
 #: Characters of benchmark text that are broadcast at once; a larger benchmark is joined slice by slice.
 BROADCAST_CHARS = 24_000_000
 
@@ -38,12 +42,13 @@ SCHEMA = "doc_id long, item_id long, item_words int, start_word int, equal_words
 
 
 class Seeds(NamedTuple):
-    """The benchmark's words by item and its seeds, sorted by hash; table marks the low bits that occur."""
+    """The benchmark's words by item and its seeds, sorted by hash; kinds are the keys of MASKS that its items need, table
+    marks the high bits that occur."""
 
     item_id: list
     words: np.ndarray
     off: np.ndarray
-    lengths: np.ndarray
+    kinds: np.ndarray
     hash: np.ndarray
     item: np.ndarray
     at: np.ndarray
@@ -61,22 +66,30 @@ def _masked(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return out
 
 
-def _masks(short: np.ndarray) -> list[tuple[int, str]]:
-    return [(k + 1, m) for k, m in enumerate(MASKS)] + [(100 + int(n), "1" * int(n)) for n in short]
+def _kind(length: np.ndarray) -> np.ndarray:
+    """The key of MASKS for items of so many words, 0 for those too short."""
+    least = np.array([0, *sorted(MASKS)])
+    return least[np.searchsorted(least, length, "right") - 1]
+
+
+def _masks(kinds: np.ndarray) -> list[tuple[int, int, str]]:
+    """(salt, kind, mask) of the kinds."""
+    return [(100 * int(kind) + k, int(kind), m) for kind in kinds for k, m in enumerate(MASKS[int(kind)])]
 
 
 def seeds(items: pa.Table) -> Seeds:
     text = items.column("text").combine_chunks()
     w = X.words(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks))
     length = np.diff(w.off)
-    short = np.unique(length[(length >= MIN_WORDS) & (length < SPAN)])
+    kind_of = _kind(length)
+    kinds = np.unique(kind_of[kind_of > 0])
     owner = np.repeat(np.arange(len(length)), length)
-    hashes, item, at = [], [], []
-    for salt, mask in _masks(short):
+    hashes, item, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for salt, kind, mask in _masks(kinds):
         h = _masked(w.hash, mask, salt)
         p = np.arange(len(h))
         fits = owner[: len(h)] == owner[len(mask) - 1 : len(mask) - 1 + len(h)]
-        fits &= length[owner[: len(h)]] == len(mask) if salt > 100 else length[owner[: len(h)]] >= SPAN
+        fits &= kind_of[owner[: len(h)]] == kind
         hashes.append(h[fits])
         item.append(owner[: len(h)][fits])
         at.append((p - w.off[owner[: len(h)]])[fits])
@@ -85,14 +98,14 @@ def seeds(items: pa.Table) -> Seeds:
     bits = max(16, math.ceil(math.log2(len(h) + 1)) + 6)
     table = np.zeros(1 << bits, bool)
     table[(h >> np.uint64(64 - bits)).astype(np.int64)] = True
-    return Seeds(items.column("item_id").to_pylist(), w.hash, w.off, short, h[order], item[order], at[order], table)
+    return Seeds(items.column("item_id").to_pylist(), w.hash, w.off, kinds, h[order], item[order], at[order], table)
 
 
 def _hits(w: X.Words, s: Seeds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (row, item, place of the item's first word) of all seed hits."""
     shift = np.uint64(64 - int(math.log2(len(s.table))))
-    rows, items, places = [], [], []
-    for salt, mask in _masks(s.lengths):
+    rows, items, places = ([np.zeros(0, np.int64)] for _ in range(3))
+    for salt, _, mask in _masks(s.kinds):
         h = _masked(w.hash, mask, salt)
         p = np.flatnonzero(s.table[(h >> shift).astype(np.int64)])
         lo, hi = np.searchsorted(s.hash, h[p]), np.searchsorted(s.hash, h[p], "right")

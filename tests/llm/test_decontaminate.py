@@ -1,6 +1,9 @@
 """Decontamination: planted passages with substitutions are found, clean texts are left alone."""
 
+from itertools import combinations
+
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import decontaminate as D
 from tessera.llm import text as X
@@ -87,3 +90,30 @@ def test_a_large_benchmark_goes_slice_by_slice(spark, monkeypatch):
     monkeypatch.setattr(D, "BROADCAST_CHARS", 1500)
     assert {(r.doc_id, r.item_id) for r in D.contaminated(*_frames(spark, docs, items)).collect()} == {(k, k) for k in range(40)}
     assert D.clean(*_frames(spark, docs, items)).count() == 0
+
+
+def test_every_pattern_of_substitutions_that_is_a_hit_is_found():
+    for n in range(D.MIN_WORDS, D.WINDOW + 4):
+        item = [f"b{k}" for k in range(n)]
+        width = min(n, D.WINDOW)
+        docs = []
+        for many in range(4):
+            for at in combinations(range(n), many):
+                same = [k not in at for k in range(n)]
+                if any(sum(same[j : j + width]) / width >= D.MIN_EQUAL for j in range(n - width + 1)):
+                    docs.append(" ".join(["lead", *(w if ok else "other" for w, ok in zip(item, same)), "tail"]))
+        s = D.seeds(pa.table({"item_id": [7], "text": [" ".join(item)]}))
+        found = {int(row) for rows, *_ in D.matches(pa.array(docs), s) for row in rows}
+        assert found == set(range(len(docs))), n
+
+
+def test_an_excerpt_of_a_longer_item_with_two_substitutions_is_found():
+    item = [f"b{k}" for k in range(40)]
+    s = D.seeds(pa.table({"item_id": [7], "text": [" ".join(item)]}))
+    docs = []
+    for at in combinations(range(D.WINDOW), 2):
+        part = item[11 : 11 + D.WINDOW]
+        for k in at:
+            part[k] = "other"
+        docs.append(" ".join(part))
+    assert {int(row) for rows, *_ in D.matches(pa.array(docs), s) for row in rows} == set(range(len(docs)))
