@@ -5,6 +5,10 @@ logistic regression over the licence families and `none`, which is fitted on var
 sample of the corpus's own lines and on prose that speaks of licences. A temperature fitted on held-out lines calibrates
 the probabilities. A line that more likely than not is a licence is compared with the templates: the family holds if its
 own templates are covered best and to at least COVER by the line's pairs of words; otherwise the family is `unknown`.
+Since the other words of a line weigh against a notice within it, the passages of each line that cover a template to at
+least COVER, within REACH times its length, are judged as lines of their own. Of passages that overlap the one that
+covers its template best holds. A line has a row for itself, if it is judged a licence as a whole, and one for each
+further family of its passages; it isn't `unknown` where a passage has a family.
 
 Result: doc_id, line (from 0), family, probability (of the family, for `unknown` of any licence), similarity (to the
 best template of the family, for `unknown` of any).
@@ -126,6 +130,8 @@ FAMILIES = tuple(TEMPLATES)
 NONE = len(FAMILIES)
 GRAMS = 3
 COVER = 0.6
+#: Words within which a template's pairs are sought, as a multiple of its own.
+REACH = 1.5
 #: Variants of each family to fit on, and documents (those of lowest hash) whose lines stand for ordinary text.
 VARIANTS, SAMPLE = 120, 400
 STEPS, L2 = 300, 1e-3
@@ -278,19 +284,84 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
+def _pair_table() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all templates' pairs: the hashes in order, with the template of each, the number of pairs of each template,
+    and the high bits that occur."""
+    templates = [t for family in _PAIRS for t in family]
+    h = np.array([x for t in templates for x in t], np.uint64)
+    of = np.repeat(np.arange(len(templates)), [len(t) for t in templates])
+    order = np.argsort(h, kind="stable")
+    return h[order], of[order], np.array([len(t) for t in templates]), _table(h)
+
+
+_PAIR, _PAIR_OF, _PAIRS_IN, _PAIR_TABLE = _pair_table()
+
+
+def passages(hashes: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(line, begin, end) of the places in lines that cover a template to at least COVER, those that cover it best first
+    within a line, none overlapping another."""
+    h = X.mix(X.mix(hashes[:-1] + np.uint64(1)) * np.uint64(0xD1342543DE82EF95) + hashes[1:] + np.uint64(2)) if len(hashes) else hashes
+    at = np.flatnonzero(_PAIR_TABLE[(h >> np.uint64(44)).astype(np.int64)])
+    line = np.searchsorted(off, at, "right") - 1
+    lo, hi = np.searchsorted(_PAIR, h[at]), np.searchsorted(_PAIR, h[at], "right")
+    ok = (hi > lo) & (at + 1 < off[line + 1])
+    at, line, lo, many = at[ok], line[ok], lo[ok], (hi - lo)[ok]
+    k = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+    at, line, template, pair = np.repeat(at, many), np.repeat(line, many), _PAIR_OF[k], k
+    order = np.lexsort((at, template, line))
+    at, line, template, pair = at[order], line[order], template[order], pair[order]
+    least = np.ceil(COVER * _PAIRS_IN - 1e-9).astype(np.int64)
+    reach = np.ceil(REACH * (_PAIRS_IN + 1)).astype(np.int64)
+    # the place of the pair that a passage must reach to hold enough of them: all others are left out at once
+    last = np.arange(len(at)) + least[template] - 1
+    inside = np.minimum(last, len(at) - 1)
+    some = np.flatnonzero((last < len(at)) & (line[inside] == line) & (template[inside] == template) & (at[inside] + 2 - at <= reach[template]))
+    got: dict[int, list[tuple[float, int, int, int]]] = {}
+    for i in some.tolist():
+        t, seen, end, j = template[i], set(), int(at[i]) + 2, i
+        while j < len(at) and line[j] == line[i] and template[j] == t and at[j] + 2 - at[i] <= reach[t]:
+            if int(pair[j]) not in seen:
+                seen.add(int(pair[j]))
+                end = int(at[j]) + 2
+            j += 1
+        if len(seen) >= least[t]:
+            got.setdefault(int(line[i]), []).append((-len(seen) / _PAIRS_IN[t], -len(seen), int(at[i]), end))
+    for n, places in got.items():
+        taken = np.zeros(off[n + 1] - off[n], bool)
+        for _, _, begin, end in sorted(places):
+            if not taken[begin - off[n] : end - off[n]].any():
+                taken[begin - off[n] : end - off[n]] = True
+                yield n, begin, end
+
+
+def _judged(hashes: np.ndarray, p: np.ndarray) -> tuple[str, float, float]:
+    """The family, probability and similarity of a line of these words and probabilities."""
+    best = int(np.argmax(p[:NONE]))
+    cover = coverage(hashes)
+    if cover[best] >= COVER and cover[best] >= cover.max():
+        return FAMILIES[best], float(p[best]), float(cover[best])
+    return "unknown", float(1 - p[NONE]), float(cover.max())
+
+
 def found(text: pa.Array, s: Scanner) -> list[tuple[int, int, str, float, float]]:
     """(row, line, family, probability, similarity) of a text column's licence lines."""
     out = []
     for a, b in X.slices(text):
         h, off, row, number = lines(text.slice(a, b - a))
         p = probabilities(h, off, s)
-        for k in np.flatnonzero(p[:, NONE] < 0.5):
-            best = int(np.argmax(p[k, :NONE]))
-            cover = coverage(h[off[k] : off[k + 1]])
-            if cover[best] >= COVER and cover[best] >= cover.max():
-                out.append((a + int(row[k]), int(number[k]), FAMILIES[best], float(p[k, best]), float(cover[best])))
-            else:
-                out.append((a + int(row[k]), int(number[k]), "unknown", float(1 - p[k, NONE]), float(cover.max())))
+        got = {int(k): {x[0]: x} for k in np.flatnonzero(p[:, NONE] < 0.5) for x in [_judged(h[off[k] : off[k + 1]], p[k])]}
+        places = list(passages(h, off))
+        if places:
+            parts = [h[begin:end] for _, begin, end in places]
+            q = probabilities(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts]))), s)
+            for (k, _, _), words, x in zip(places, parts, q):
+                if x[NONE] < 0.5:
+                    family, *rest = _judged(words, x)
+                    got.setdefault(k, {}).setdefault(family, (family, *rest))
+        for k in sorted(got):
+            for family, *rest in got[k].values():
+                if family != "unknown" or len(got[k]) == 1:
+                    out.append((a + int(row[k]), int(number[k]), family, *rest))
     return out
 
 

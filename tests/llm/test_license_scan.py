@@ -90,3 +90,27 @@ def test_slices_do_not_matter(scanner, monkeypatch):
     monkeypatch.setattr(X.slices, "__defaults__", (100,))
     assert L.found(texts, scanner) == whole
     assert [(r, n) for r, n, *_ in whole] == [(k, 1) for k in range(60) if k % 3]
+
+
+def test_a_notice_within_a_long_line_is_found(scanner):
+    prose = "the king had a house by the sea and many people came to see it in the summer of that year ".split()
+    notices = {
+        "Released under the MIT License.": "MIT",
+        "All rights reserved.": "proprietary",
+        "Licensed under the Apache License, Version 2.0 (the License)": "Apache-2.0",
+        "under the terms of the GNU General Public License as published by": "GPL",
+        "under the terms of the GNU Affero General Public License": "AGPL",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+    }
+    for many in (5, 20, 100, 2000):
+        around = " ".join((prose * 100)[:many])
+        for notice, family in notices.items():
+            got = L.found(pa.array([f"{around} {notice} {around}"]), scanner)
+            assert [(n, f) for _, n, f, _, _ in got] == [(0, family)], (many, notice)
+        assert {f for _, _, f, _, _ in L.found(pa.array([around]), scanner)} <= {"unknown"}
+
+
+def test_all_families_of_a_long_line_are_found(scanner):
+    far = " ".join(["and the sea was calm"] * 40)
+    got = L.found(pa.array([f"{far} Released under the MIT License. {far} Licensed under the Apache License, Version 2.0. {far}"]), scanner)
+    assert sorted(f for _, _, f, _, _ in got) == ["Apache-2.0", "MIT"]
