@@ -22,7 +22,7 @@ from tessera.config import metric as canonical
 from tessera.config import top_k
 from tessera.functions import metrics
 from tessera.functions.quantize import BITS, Codes, packed, quantize, restored, rotation, unpacked
-from tessera.operators.vector import best, knn, knn_batch, matrix, rescored, restricted
+from tessera.operators.vector import QUERIES, best, knn, knn_batch, matrix, rescored, restricted
 from tessera.plans.lineage import cut
 
 VECTORS_PER_CLUSTER, LEAST_PER_CLUSTER = 384, 64
@@ -252,6 +252,92 @@ def search(index: Ivf, query, k: int, ratio: float | None = None, n_probe: int |
     return exact.limit(k)
 
 
+def search_batch(index: Ivf, queries: DataFrame, k: int, oversample: float = 3.0) -> DataFrame:
+    """query_id, _row_id, score, rank: about the k nearest rows of every row (query_id, vector) of queries.
+
+    Each query visits its best clusters up to the budget of search, and at least twice the candidates it wants, as a row
+    may stand in two clusters. Each task scores the best of its own postings exactly.
+    """
+    k, dimension, bits = top_k(k), index.dimension, index.bits
+    unit = index.metric == "cosine"
+    how = "dot_product" if unit else index.metric
+    wanted = max(k, math.ceil(k * oversample))
+    turn = rotation(dimension) if index.rotated else None
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where(F.col("vector").isNotNull())
+    c = index.centroids.orderBy("cluster_id").toArrow()
+    size = c.column("n").to_numpy()
+    where = matrix(c.column("centroid").combine_chunks(), dimension) if len(size) else np.zeros((0, dimension))
+    budget = max(2 * visit_ratio(index.rows, wanted) * index.rows, index.ratio * size.sum(), 2 * wanted)
+    context = queries.sparkSession.sparkContext
+    all_centroids = context.broadcast((where, size))
+
+    def limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, size = all_centroids.value
+        for batch in batches:
+            q = matrix(batch.column(1), dimension)
+            q = metrics.normalized(q) if unit else q
+            q = q if turn is None else q @ turn
+            least = np.zeros(len(q))
+            for a in range(0, len(q) if len(size) else 0, 256):
+                score = metrics.scores(how, where, q[a : a + 256])
+                order = np.argsort(-score, axis=0, kind="stable")
+                last = np.minimum((np.cumsum(size[order], axis=0) < budget).sum(axis=0), len(size) - 1)
+                at = np.arange(score.shape[1])
+                least[a : a + 256] = score[order[last, at], at]
+            yield pa.record_batch([batch.column(0), _vectors(q), pa.array(least)], names=["query_id", "vector", "least"])
+
+    asked = cut(asked.mapInArrow(limits, "query_id long, vector array<double>, least double"))
+    postings = index.postings.join(index.centroids.select("cluster_id", "centroid"), "cluster_id")
+    postings = cut(postings.repartition("cluster_id").sortWithinPartitions("cluster_id").select("cluster_id", "_row_id", "code", "low", "high", "square", "vector", "centroid"))
+    parts = max(1, math.ceil(asked.count() / QUERIES))
+    out = None
+    for part in range(parts):
+        got = (asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)).toArrow()  # about QUERIES rows
+        shared = context.broadcast((got.column("query_id").to_numpy(), matrix(got.column("vector").combine_chunks(), dimension) if got.num_rows else np.zeros((0, dimension)), got.column("least").to_numpy()))
+
+        def visit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q, least = shared.value
+            ids, vectors, passed = [np.zeros(0, np.int64)], [np.zeros((0, dimension))], 0
+            kept, place = np.full((len(q), 2 * wanted), -np.inf), np.full((len(q), 2 * wanted), -1)  # a row may stand in two clusters
+            for batch in batches:
+                if not batch.num_rows or not len(q):
+                    continue
+                data = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                near = matrix(batch.column(7), dimension)
+                x = near + restored(Codes(unpacked(data, bits, dimension), *(batch.column(j).to_numpy() for j in (3, 4, 5))), bits)
+                cluster = batch.column(0).to_numpy()
+                begin = np.flatnonzero(np.concatenate(([True], cluster[1:] != cluster[:-1])))
+                score = metrics.scores(how, near[begin], q)
+                for j, (a, b) in enumerate(zip(begin, np.append(begin[1:], len(cluster)))):
+                    here = np.flatnonzero(score[j] >= least - 1e-12 * np.abs(least))
+                    new = q[here] @ x[a:b].T  # in the order of the scores
+                    new = 2 * new - np.square(x[a:b]).sum(1) if how == "l2" else new
+                    new = np.concatenate((kept[here], new), axis=1)
+                    at = np.concatenate((place[here], np.broadcast_to(passed + np.arange(a, b), (len(here), b - a))), axis=1)
+                    top = np.argpartition(-new, 2 * wanted - 1, axis=1)[:, : 2 * wanted]
+                    kept[here], place[here] = np.take_along_axis(new, top, 1), np.take_along_axis(at, top, 1)
+                ids.append(batch.column(1).to_numpy())
+                vectors.append(matrix(batch.column(6), dimension))
+                passed += batch.num_rows
+            i, v = np.concatenate(ids), np.concatenate(vectors)
+            who, row, exact = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for name, x, at in zip(names, q, place):
+                at = at[at >= 0]
+                at = at[np.unique(i[at], return_index=True)[1]]
+                score = metrics.scores(how, v[at], x)
+                top = best(score, i[at], k)
+                who.append(np.full(len(top), name))
+                row.append(i[at][top])
+                exact.append(score[top])
+            yield pa.record_batch([pa.array(np.concatenate(z)) for z in (who, row, exact)], names=["query_id", "_row_id", "score"])
+
+        one = postings.mapInArrow(visit, "query_id long, _row_id long, score double")
+        out = one if out is None else out.unionByName(one)
+    once = out.groupBy("query_id", "_row_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("_row_id"))
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def _ranked(index: Ivf, q: np.ndarray, how: str, many: int) -> list[tuple[int, int]]:
     """The best clusters and their sizes; no others leave the executors."""
     best = knn(index.centroids, q, many, how, id_column="cluster_id", vector_column="centroid")

@@ -233,6 +233,40 @@ def test_few_or_equal_vectors_are_one_cluster_or_part_no_further(spark):
     assert ivf.search(ivf.build(df.limit(0), 2), [1, 2], 3).count() == 0
 
 
+def _recalls(got, exact):
+    """Of each query, and of those alone that are in exact."""
+    here = {}
+    for r in got.collect():
+        here.setdefault(r.query_id, set()).add(r._row_id)
+    want = {}
+    for r in exact.collect():
+        want.setdefault(r.query_id, set()).add(r._row_id)
+    return np.array([len(rows & here.get(q, set())) / len(rows) for q, rows in sorted(want.items())])
+
+
+@pytest.mark.parametrize(("how", "rotate", "bits", "spill"), [("l2", False, 4, True), ("l2", False, 8, False), ("cosine", True, 8, True)])
+def test_batched_clustered_search_recalls_all_rows(spark, how, rotate, bits, spill):
+    rng = np.random.default_rng(17)
+    x = (rng.normal(size=(12, 16)) * 3)[rng.integers(0, 12, 900)] + rng.normal(size=(900, 16))
+    x[::90] *= 4  # outliers
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "_row_id long, vector array<double>")
+    asked = df.select(F.col("_row_id").alias("query_id"), "vector")
+    got = ivf.search_batch(ivf.build(df, 16, how, 64, bits, rotate, spill), asked, 10).cache()
+    assert got.count() == 9000 and got.dropDuplicates(["query_id", "_row_id"]).count() == 9000
+    recall = _recalls(got, vector.knn_batch(df, asked, 10, how))
+    assert len(recall) == 900 and recall.mean() >= 0.9 and recall[::90].mean() >= 0.9
+    assert got.where("query_id = 5 AND rank = 1").first()._row_id == 5
+
+
+@pytest.mark.parametrize("name", ["knn_ivf", "knn_int8"])
+def test_registered_approximate_searches_take_every_row_as_query(spark, name):
+    folder = "/root/testdata/sf0.001"
+    df = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("_row_id"), F.col("embedding").alias("vector"))
+    exact = vector.knn_batch(df, df.withColumnRenamed("_row_id", "query_id"), 10)
+    recall = _recalls(catalog.QUERIES[name](spark, folder), exact)
+    assert len(recall) == df.count() and recall.mean() >= 0.9
+
+
 def _declared(algorithm="IVF"):
     return fields(
         Field("text", Kind.FULLTEXT), Field("n", Kind.SCALAR, Scalar.LONG), Field("tag", Kind.KEYWORD),
