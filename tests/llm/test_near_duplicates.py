@@ -56,19 +56,61 @@ def frame(spark, rows):
     return spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
 
 
+def result(spark, rows, threshold=N.THRESHOLD):
+    got = N.classes(frame(spark, rows), threshold).collect()
+    assert len({r.doc_id for r in got}) == len(got)
+    return {r.doc_id: (r.class_id, r.text_id, r.links) for r in got}
+
+
+def wanted(rows, threshold=N.THRESHOLD):
+    """The same by brute force; of documents of one text each."""
+    want = brute(rows, threshold)
+    group, words = closure(rows, want), {d: tuple(X.hash_words(t or "").tolist()) for d, t in rows}
+    first = {}
+    for d in sorted(words):
+        first.setdefault(words[d], d)
+    out = {}
+    for d in group:
+        if any(d in p for p in want):
+            near = {words[y if x == d else x] for x, y in want if d in (x, y)}
+            out[d] = (group[d], first[words[d]], len(near - {words[d]}))
+    return out
+
+
 def test_recall_and_exactness(spark):
     rows = corpus()
-    want = brute(rows)
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in N.pairs(frame(spark, rows)).collect()}
-    # copies of equal words are tied to the lowest of them; all else is in the result pair by pair
-    assert all(abs(want[p] - j) < 1e-12 for p, j in got.items())
-    sure = {p for p, j in want.items() if j >= 0.6}
-    equal = {p for p in want if want[p] == 1.0}
-    texts = dict(rows)
-    one = lambda d: min(x for x, t in rows if t == texts[d])
-    nodes = {tuple(sorted((one(a), one(b)))) for a, b in want if texts[a] != texts[b]}
-    assert len(nodes & set(got)) >= 0.9 * len(nodes)
-    assert closure(rows, got) == closure(rows, want) or len(sure - set(got) - equal) <= 0.02 * len(sure)
+    got, want = result(spark, rows), wanted(rows)
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
+    assert all(got[d][2] <= want[d][2] and got[d][1] == want[d][1] for d in got)
+    assert sum(x[2] for x in got.values()) >= 0.9 * sum(x[2] for x in want.values()) > 0
+    sure = wanted(rows, 0.65)
+    assert all(got[d][0] <= sure[d][0] and got[d][2] >= sure[d][2] for d in sure)
+
+
+def test_thousands_of_near_copies_lose_no_link(spark, monkeypatch):
+    """A band of 3,000 different texts is cut into blocks; each text is linked with all others."""
+    rng = np.random.default_rng(4)
+    base = [f"b{k}" for k in range(300)]
+    rows = [(k, " ".join([*base[: (at := int(rng.integers(0, 300)))], f"n{k}", *base[at + 1 :]])) for k in range(3000)]
+    monkeypatch.setattr(N, "BLOCK", 256)
+    homes = N._blocks(_nodes(spark, rows)).groupBy("label", "part").count().collect()
+    assert max(r["count"] for r in homes) < 2 * 256
+    got = result(spark, rows)
+    assert got == {k: (0, k, 2999) for k in range(3000)}
+
+
+def _nodes(spark, rows):
+    sketches = N._slim(frame(spark, rows)).mapInArrow(N._sketch, "doc_id long, node long, h2 long, size long, sig binary")
+    return sketches.selectExpr("node", "size", "sig", "doc_id AS low")
+
+
+def test_either_way_of_counting_gives_what_sets_have_in_common():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, int(n))) for n in rng.integers(1, 80, 40)]
+    off = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    for a, b in (np.triu_indices(40, 1), (np.array([0, 3]), np.array([5, 9]))):
+        got = N._common(np.concatenate(sets), off, a, b)
+        assert got.tolist() == [len(np.intersect1d(sets[x], sets[y])) for x, y in zip(a, b)]
 
 
 def test_pruning_keeps_what_may_reach_the_threshold():
@@ -77,7 +119,7 @@ def test_pruning_keeps_what_may_reach_the_threshold():
     for j, least, most in ((0.7, 0.99, 1), (0.5, 0.95, 1), (0.15, 0, 0.01)):
         a = rng.integers(0, 60000, (2000, n)).astype(np.uint16)
         b = np.where(rng.random((2000, n)) < j, a, a + 1).astype(np.uint16)
-        assert least <= N.survives(a, b).mean() <= most
+        assert least <= N.survives(N.in_steps(np.concatenate((a, b))), np.arange(2000), np.arange(2000, 4000)).mean() <= most
 
 
 def test_estimates_follow_the_similarity():
@@ -90,8 +132,7 @@ def test_estimates_follow_the_similarity():
 def test_nulls_empty_short_repeated_and_equal_rows(spark):
     long = " ".join(f"v{k}" for k in range(40_000))
     rows = [(1, "a b c d"), (2, "a b c d"), (3, "A  b, c d!"), (4, None), (5, ""), (6, "   "), (None, "a b c d"), (7, "one two"), (8, "one two"), (9, long), (10, long + " end"), (11, "a b c d"), (11, "a b c d"), (12, "?!"), (13, "?!")]
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in N.pairs(frame(spark, rows)).collect()}
-    assert set(got) == {(1, 2), (1, 3), (1, 11), (7, 8), (9, 10)}
+    assert result(spark, rows) == {1: (1, 1, 0), 2: (1, 1, 0), 3: (1, 1, 0), 11: (1, 1, 0), 7: (7, 7, 0), 8: (7, 7, 0), 9: (9, 9, 1), 10: (9, 10, 1)}
     left = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in N.one_of_each_group(frame(spark, rows)).collect()), key=str)
     assert [d for none, d, _ in left if not none] == [1, 12, 13, 4, 5, 6, 7, 9] and sum(none for none, *_ in left) == 1
 
@@ -109,13 +150,22 @@ def test_groups_are_connected_components(spark):
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "only one text is here")]])
 def test_empty_tables(spark, rows):
     docs = frame(spark, rows)
-    assert N.pairs(docs).count() == 0
+    assert N.classes(docs).count() == 0
     out = N.one_of_each_group(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
 
 
-def test_all_pairs_of_a_bucket():
-    batch = pa.record_batch([pa.array([1, 1, 1, 2, 2, 3]), pa.array([4, 5, 6, 7, 8, 9])], names=["band", "node"])
-    for parts in ([batch], [batch.slice(0, 2), batch.slice(2, 2), batch.slice(4)]):
-        got = sorted((a, b) for r in N._bucket_pairs(iter(parts)) for a, b in zip(*(c.to_pylist() for c in r.columns)))
-        assert got == [(4, 5), (4, 6), (5, 6), (7, 8)]
+def test_a_document_of_several_texts_is_in_one_class(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(1, a), (2, a + " end"), (3, b), (4, b + " end"), (4, a), (5, "else and other words"), (5, "something of its own here")]
+    assert result(spark, rows) == {1: (1, 1, 1), 2: (1, 2, 1), 3: (1, 3, 1), 4: (1, 1, 2)}
+    left = {(r.doc_id, r.text) for r in N.one_of_each_group(frame(spark, rows)).collect()}
+    assert left == {(1, a), (5, "else and other words")}
+
+
+def test_cells_are_whole_across_batches_and_repeated_rows_are_one():
+    n = 7
+    table = pa.table({"label_a": [1, 1, 1, 1, 2, 2, 3], "part_a": [0] * n, "label_b": [1, 1, 1, 1, 3, 3, 3], "part_b": [0] * n, "side": [0, 0, 0, 0, 0, 1, 0], "node": [4, 5, 5, 6, 7, 8, 9]})
+    for size in (1, 2, 3, 7):
+        got = [(t.column("node").to_pylist()[x:y]) for t, cells in N._whole_cells(iter(table.to_batches(size))) for x, y in zip(cells, cells[1:])]
+        assert got == [[4, 5, 6], [7, 8], [9]]

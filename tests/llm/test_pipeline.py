@@ -40,16 +40,8 @@ def test_the_classifier_drops_what_it_rejects(spark, steps):
 def test_one_of_each_group_of_near_duplicates_stays(steps):
     before, after = steps[1]
     left = {r.doc_id for r in after.collect()}
-    edges = [(r.doc_a, r.doc_b) for r in near_duplicates.pairs(before).collect()]
-    group = {r.doc_id: r.doc_id for r in before.collect()}
-    changed = True
-    while changed:
-        changed = False
-        for a, b in edges:
-            low = min(group[a], group[b])
-            changed |= group[a] != low or group[b] != low
-            group[a] = group[b] = low
-    assert left == set(group.values())
+    classes = {r.doc_id: r.class_id for r in near_duplicates.classes(before).collect()}
+    assert left == {classes.get(r.doc_id, r.doc_id) for r in before.collect()}
 
 
 def test_no_passage_repeats_and_no_benchmark_item_is_left(spark, steps):
