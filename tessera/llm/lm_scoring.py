@@ -1,27 +1,30 @@
 """Language-model scores by a hashed maximum-entropy model with class-factored softmax.
 
-Words (by their letters and digits, in lower case) stand in WORDS hashed ids. Their counts over the whole corpus order
-them: the OWN most frequent ids have an output each, the others share the rest by hash; outputs in order of their counts
-form CLASSES classes of MEMBERS. A word's probability is P(class | context) P(output | class, context) P(id | output),
-the last from the counts. Both softmaxes sum the weights of hashed features: a bias, the word before, the two words
-before (n-grams), and the second word before alone (a skip).
-
-Training visits every document once, in ROUNDS rounds that each take the documents of one hash. In a round each task
-begins with the weights of the last round and follows the gradients of its own documents (Adagrad over minibatches, a
-step size for each row); the rows of its tables come back with the number of times that each feature occurred, by which
-they are averaged. So what is gathered grows with the tasks, and the model has one size. Scoring goes through all
-documents in numpy batches.
+Words (by their letters and digits, in lower case) are counted over the whole corpus. In order of their counts they are the
+leaves of nested classes: a class of BRANCH members holds LEAVES words and as many smaller classes, down to as many levels
+as the corpus has words, so that each word has an output of its own and a frequent one is reached in few steps. A word's
+probability is the product, over the classes on its way, of the member's probability given the class and the context: a
+softmax of what the counts alone say plus the weights of hashed features: the word before, the two words before (n-grams),
+and the second word before alone (a skip). The table of weights has ROWS * words ** GROWTH rows, at most MOST_ROWS, which is
+the bound of what is broadcast.
+
+Training visits every document once, in STEPS synchronous steps that each take the documents of one hash. In a step every
+task sums the gradients of its documents at the same weights; the sums of all tasks are added up, and each row follows its
+mean gradient, drawn to zero as if SHRINK more occurrences had none. So the model doesn't depend on the number of tasks but
+for rounding. Scoring goes through all documents in numpy batches.
 
 Result: doc_id, n_words, log_prob (mean natural logarithm of the words' probabilities), perplexity.
 
 Defined results: a null or empty text, or one without words, has n_words 0 and null scores; texts of any length are read
-whole; a null doc_id is scored and reported as it is; repeated rows are scored each, and count in the training; a word
-that training never saw has the share of a count of one. Only doc_id and text are read, so other columns may clash; an
-empty table gives an empty result.
+whole; a null doc_id is scored and reported as it is; repeated rows are scored each, and count in the training; words of
+equal count are in order of their hash; a word that training never saw has the probability of a class of its own, which
+counts once; words of one id (the first bits of the hash, of which there are four times as many as words, MOST_BITS at
+most) are one. Only doc_id and text are read, so other columns may clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,52 +34,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as X
-
-BITS = 20
-WORDS = 1 << BITS
-CLASSES, MEMBERS, OWN = 32, 32, 512
-#: Rows of the table of features, and of features within a class.
-CLASS_ROWS, MEMBER_ROWS = 1 << 14, 1 << 15
-ROUNDS, RATE, BATCH = 2, 0.7, 32768
-#: Rows of a table that are sent together.
+from tessera.plans.lineage import cut
+
+#: Members of a class; of those, words where there are smaller classes below. LEAVES is 1 << _SHIFT and half of BRANCH.
+BRANCH, LEAVES, _SHIFT = 32, 16, 4
+ROWS, GROWTH, LEAST_ROWS, MOST_ROWS = 1.0, 2 / 3, 1 << 10, 1 << 21
+LEAST_BITS, MOST_BITS = 12, 24
+STEPS, RATE, SHRINK, CLIP = 5, 4.0, 10.0, 15.0
+BATCH = 16384
+#: Rows of the table that are sent together.
 _BLOCK = 2048
 _SLICE = 1 << 20
-_START = np.uint64(WORDS)
+#: Distinct words that a task holds before it hands their counts on, about.
+_HELD = 1 << 21
+_NEVER = np.float32(-1e4)
 
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 class Vocabulary(NamedTuple):
-    """output and log_share of each word id."""
+    """Of each word id its level (from 1), class within the level and member; of each level its first class; of each class
+    the logarithms of its members' shares by the counts."""
+
+    level: np.ndarray
+    home: np.ndarray
+    member: np.ndarray
+    first: np.ndarray
+    base: np.ndarray
 
-    output: np.ndarray
-    log_share: np.ndarray
+    @property
+    def bits(self) -> int:
+        return len(self.level).bit_length() - 1
 
 
-class Model(NamedTuple):
-    """Weights by feature row, of the classes and of the members of a class."""
+class Sums(NamedTuple):
+    """The gradient of each row's weights, of the summed logarithms of probabilities, and how often the row occurred."""
 
-    classes: np.ndarray
-    members: np.ndarray
+    gradient: np.ndarray
+    seen: np.ndarray
 
 
-def ids(w: X.Words) -> np.ndarray:
-    return (w.hash >> np.uint64(64 - BITS)).astype(np.int64)
+def table_rows(words: int) -> int:
+    """Rows of the table of weights for a corpus of so many words."""
+    return int(min(max(ROWS * words**GROWTH, LEAST_ROWS), MOST_ROWS)) // 4 * 4
 
 
 def vocabulary(counts: np.ndarray) -> Vocabulary:
-    """From the count of each word id."""
-    outputs = CLASSES * MEMBERS
-    order = np.argsort(-counts, kind="stable")
-    output = OWN + np.arange(WORDS) % (outputs - OWN)
-    output[order[:OWN]] = np.arange(OWN)
-    mass = np.bincount(output, counts, outputs)
-    place = np.empty(outputs, np.int64)
-    place[np.argsort(-mass, kind="stable")] = np.arange(outputs)
-    output = place[output]
-    smooth = counts + 1.0
-    total = np.bincount(output, smooth, outputs)
-    return Vocabulary(output.astype(np.int32), np.log(smooth / total[output]).astype(np.float32))
+    """From the count of each word id; ids that never occur share one leaf that counts once."""
+    some = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]
+    many = np.append(counts[some], 1)
+    level, home, member = (np.zeros(len(many), np.int64) for _ in range(3))
+    first, at, depth = [0], 0, 1
+    while at < len(many):
+        classes = LEAVES ** (depth - 1)
+        left = len(many) - at
+        last = left <= BRANCH * classes
+        if last:
+            classes = math.ceil(left / BRANCH)
+        n = left if last else LEAVES * classes
+        k = np.arange(n)
+        level[at : at + n], home[at : at + n], member[at : at + n] = depth, k % classes, k // classes
+        at += n
+        first.append(first[-1] + classes)
+        depth += 1
+    first = np.array(first)
+    mass = np.zeros((first[-1], BRANCH))
+    for step in range(1, depth):
+        at = np.flatnonzero(level >= step)
+        np.add.at(mass, (first[step - 1] + _class(home[at], level[at], step), _member(home[at], member[at], level[at], step)), many[at])
+    total = mass.sum(axis=1, keepdims=True)
+    base = np.where(mass > 0, np.log(np.maximum(mass, 1e-30) / np.maximum(total, 1e-30)), _NEVER).astype(np.float32)
+    place = np.full(len(counts), len(many) - 1)
+    place[some] = np.arange(len(some))
+    return Vocabulary(level[place].astype(np.int8), home[place].astype(np.int32), member[place].astype(np.int8), first, base)
+
+
+def _class(home: np.ndarray, level: np.ndarray, step: int) -> np.ndarray:
+    """The class within the level step on the way to a leaf."""
+    return home >> (_SHIFT * (level - step))
+
+
+def _member(home: np.ndarray, member: np.ndarray, level: np.ndarray, step: int) -> np.ndarray:
+    """The member of that class on the way to a leaf."""
+    return np.where(level == step, member, LEAVES + ((home >> (_SHIFT * np.maximum(level - step - 1, 0))) & (LEAVES - 1)))
+
+
+def ids(w: X.Words, bits: int) -> np.ndarray:
+    return (w.hash >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def features(word: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -84,7 +128,7 @@ def features(word: np.ndarray, row: np.ndarray) -> np.ndarray:
     w = word.astype(np.uint64)
     back = []
     for d in (1, 2):
-        x = np.full(len(w), _START)
+        x = np.full(len(w), np.uint64(1) << np.uint64(40))
         ok = row[d:] == row[:-d] if len(w) > d else np.zeros(0, bool)
         x[d:][ok] = w[:-d][ok]
         back.append(x)
@@ -92,145 +136,169 @@ def features(word: np.ndarray, row: np.ndarray) -> np.ndarray:
     return np.stack([X.mix(a * _ODD[0] + np.uint64(1)), X.mix(X.mix(b * _ODD[1] + np.uint64(2)) + a * _ODD[2]), X.mix(b * _ODD[3] + np.uint64(3))])
 
 
-def _rows(f: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The table rows of the features, the bias at last, without and with the class."""
-    n = f.shape[1]
-    of_class = np.empty((4, n), np.int64)
-    of_class[:3] = 1 + (f % np.uint64(CLASS_ROWS - 1)).astype(np.int64)
-    of_class[3] = 0
-    of_member = np.empty((4, n), np.int64)
-    of_member[:3] = CLASSES + (X.mix(f + cls.astype(np.uint64) * _ODD[1]) % np.uint64(MEMBER_ROWS - CLASSES)).astype(np.int64)
-    of_member[3] = cls
-    return of_class, of_member
-
-
-def _softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = table[rows[0]]
-    for r in rows[1:]:
-        z += table[r]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
-
-
-def log_probabilities(word: np.ndarray, row: np.ndarray, v: Vocabulary, m: Model) -> np.ndarray:
-    """Of each word of rows that lie end to end."""
-    f = features(word, row)
-    output = v.output[word]
-    out = np.empty(len(word))
-    for a in range(0, len(word), BATCH):
-        part = slice(a, a + BATCH)
-        cls, member = output[part] // MEMBERS, output[part] % MEMBERS
-        of_class, of_member = _rows(f[:, part], cls)
-        at = np.arange(len(cls))
-        out[part] = np.log(_softmax(m.classes, of_class)[at, cls]) + np.log(_softmax(m.members, of_member)[at, member])
-    return out + v.log_share[word]
-
-
-def gradient(table: np.ndarray, rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The table rows that these positions touch, how often, and the gradient of the summed -log P(y) in each."""
-    p = _softmax(table, rows)
-    p[np.arange(len(y)), y] -= 1
-    flat = rows.ravel().astype(np.int32)
-    order = np.argsort(flat)
-    touched = flat[order]
-    begin = np.flatnonzero(np.concatenate(([True], touched[1:] != touched[:-1])))
-    order %= len(y)
-    out = np.empty((p.shape[1], len(begin)), np.float32)
-    for k, column in enumerate(np.ascontiguousarray(p.T)):  # far faster than reduceat over rows
-        out[k] = np.add.reduceat(column[order], begin)
-    return touched[begin], np.diff(np.append(begin, len(flat))), np.ascontiguousarray(out.T)
-
-
-def empty_model() -> Model:
-    return Model(np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((MEMBER_ROWS, MEMBERS), np.float32))
-
-
-def follow(slices: Iterator[tuple[np.ndarray, np.ndarray]], v: Vocabulary, m: Model, rate: float) -> tuple[Model, list[np.ndarray]]:
-    """The weights after one pass over (word, row) slices, and how often each table row occurred."""
-    tables = [m.classes.copy(), m.members.copy()]
-    squares = [np.full(len(t), 1e-6, np.float32) for t in tables]
-    seen = [np.zeros(len(t), np.int64) for t in tables]
-    for word, row in slices:
+class Scorer:
+    """Goes through words in batches, with buffers of its own."""
+
+    def __init__(self, v: Vocabulary, table: np.ndarray) -> None:
+        self.v, self.table = v, table
+        half, quarter = len(table) // 2, len(table) // 4
+        self.parts = ((0, half), (half, quarter), (half + quarter, len(table) - half - quarter))
+        self.salt = X.mix(np.arange(v.first[-1], dtype=np.uint64) * _ODD[1] + np.uint64(7))
+        self.z, self.y = np.empty((BATCH, BRANCH), np.float32), np.empty((BATCH, BRANCH), np.float32)
+
+    def rows(self, f: np.ndarray, cls: np.ndarray) -> list[np.ndarray]:
+        """The table row of each feature within each class."""
+        out, salt = [], self.salt[cls]
+        for k, (begin, size) in enumerate(self.parts):
+            h = ((f[k] ^ salt) * _ODD[2]) >> np.uint64(32)
+            out.append(((h * np.uint64(size)) >> np.uint64(32)).astype(np.int64) + begin)
+        return out
+
+    def batches(self, word: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """(places, classes, members, rows) of a level of a batch; a place comes once for each level of its word."""
         f = features(word, row)
-        output = v.output[word]
         for a in range(0, len(word), BATCH):
-            part = slice(a, a + BATCH)
-            cls, member = output[part] // MEMBERS, output[part] % MEMBERS
-            for k, (rows, y) in enumerate(zip(_rows(f[:, part], cls), (cls, member))):
-                at, many, g = gradient(tables[k], rows, y)
-                seen[k][at] += many
-                squares[k][at] += np.einsum("ij,ij->i", g, g)
-                g *= (rate / np.sqrt(squares[k][at]))[:, None]
-                tables[k][at] -= g
-    return Model(*tables), seen
-
-
-def _word_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            w = word[a : a + BATCH]
+            level, home, member = self.v.level[w].astype(np.int64), self.v.home[w].astype(np.int64), self.v.member[w]
+            for step in range(1, len(self.v.first)):
+                at = np.flatnonzero(level >= step)
+                if not len(at):
+                    break
+                cls = self.v.first[step - 1] + _class(home[at], level[at], step)
+                yield at + a, cls, _member(home[at], member[at], level[at], step), self.rows(f[:, a + at], cls)
+
+    def logits(self, cls: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        z, y = self.z[: len(cls)], self.y[: len(cls)]
+        np.take(self.v.base, cls, axis=0, out=z, mode="clip")
+        for r in rows:
+            np.take(self.table, r, axis=0, out=y, mode="clip")
+            z += y
+        return z  # weights are within CLIP, so exp() is finite and their sum isn't 0
+
+    def log_probabilities(self, word: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Of each word of rows that lie end to end."""
+        out, one = np.zeros(len(word)), np.ones(BRANCH, np.float32)
+        for at, cls, member, rows in self.batches(word, row):
+            z = self.logits(cls, rows)
+            out[at] += z[np.arange(len(at)), member]
+            np.exp(z, out=z)
+            out[at] -= np.log(z @ one)
+        return out
+
+    def add_gradients(self, word: np.ndarray, row: np.ndarray, sums: Sums) -> None:
+        one = np.ones(BRANCH, np.float32)
+        for at, cls, member, rows in self.batches(word, row):
+            p = self.logits(cls, rows)
+            np.exp(p, out=p)
+            p *= (-1 / (p @ one))[:, None]
+            p[np.arange(len(at)), member] += 1
+            y = self.y[: len(at)]
+            for r, (begin, size) in zip(rows, self.parts):
+                order = np.argsort((r - begin).astype(np.uint16) if size <= 1 << 16 else r, kind="stable")  # short keys are sorted by radix
+                r = r[order]
+                new = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+                np.take(p, order, axis=0, out=y, mode="clip")
+                sums.gradient[r[new]] += np.add.reduceat(y, new, axis=0)
+                sums.seen[r[new]] += np.diff(np.append(new, len(r)))
+
+
+def no_sums(rows: int) -> Sums:
+    return Sums(np.zeros((rows, BRANCH), np.float32), np.zeros(rows, np.float32))
+
+
+def stepped(table: np.ndarray, sums: Sums) -> np.ndarray:
+    """The weights after a step along the summed gradients."""
+    return np.clip(table + RATE * sums.gradient / (sums.seen + SHRINK)[:, None], -CLIP, CLIP).astype(np.float32)
+
+
+def _words(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[X.Words, np.ndarray]]:
     for batch in batches:
-        for a, b in X.slices(batch.column(0), _SLICE):
-            w = X.words(batch.column(0).slice(a, b - a))
+        for a, b in X.slices(batch.column(column), _SLICE):
+            w = X.words(batch.column(column).slice(a, b - a))
             if len(w.hash):
-                yield ids(w), np.repeat(np.arange(b - a), np.diff(w.off))
+                yield w, np.repeat(np.arange(b - a), np.diff(w.off))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and their numbers of occurrences; a task may give a word more than once."""
+    held, size = [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        h, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        return h[new], np.add.reduceat(n, new)
+
+    for w, _ in _words(batches):
+        held.append(np.unique(w.hash, return_counts=True))
+        size += len(held[-1][0])
+        if size > _HELD:
+            held = [merged()]
+            size = len(held[0][0])
+            if size > _HELD // 2:
+                yield pa.record_batch([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["word", "n"])
+                held, size = [], 0
+    if held:
+        h, n = merged()
+        yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
 def count_words(docs: DataFrame) -> np.ndarray:
-    """The number of occurrences of each word id in all of docs."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(WORDS, np.int64)
-        for word, _ in _word_slices(batches):
-            total += np.bincount(word, minlength=WORDS)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["word", "n"])
-
-    got = docs.select("text").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # WORDS rows at most
-    out = np.zeros(WORDS, np.int64)
-    out[got.column("word").to_numpy()] = got.column("n").to_numpy()
+    """The number of occurrences of each word id in all of docs; there are ids enough for the words of the corpus."""
+    each = cut(docs.select("text").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    bits = min(max(LEAST_BITS, (4 * each.count()).bit_length()), MOST_BITS)
+    got = each.groupBy(F.shiftrightunsigned("word", 64 - bits).alias("id")).agg(F.sum("n").alias("n")).toArrow()  # 2**bits rows at most
+    out = np.zeros(1 << bits, np.int64)
+    out[got.column("id").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
-def _averaged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block's rows, each the mean of the tasks' weights by occurrences."""
-    total, seen = None, None
+def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's sums over all tasks."""
+    total, seen = 0.0, 0.0
     for batch in batches:
-        for weights, many in zip(batch.column("weights"), batch.column("many")):
-            n = np.frombuffer(many.as_buffer(), np.int32).astype(np.float64)
-            w = np.frombuffer(weights.as_buffer(), np.float16).astype(np.float64).reshape(len(n), -1) * n[:, None]
-            total, seen = (w, n) if total is None else (total + w, seen + n)
-    mean = (total / np.maximum(seen, 1)[:, None]).astype(np.float32)
-    yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([mean.tobytes()], pa.binary()), pa.array([(seen > 0).tobytes()], pa.binary())], names=["block", "weights", "there"])
-
-
-def train(docs: DataFrame) -> tuple[Vocabulary, Model]:
-    """The vocabulary and the model of docs (doc_id, text)."""
-    v = vocabulary(count_words(docs))
-    m = empty_model()
+        for g, n in zip(batch.column("gradient"), batch.column("seen")):
+            total = total + np.frombuffer(g.as_buffer(), np.float32).astype(np.float64)
+            seen = seen + np.frombuffer(n.as_buffer(), np.float32).astype(np.float64)
+    yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([seen.astype(np.float32).tobytes()], pa.binary())], names=["block", "gradient", "seen"])
+
+
+def gradients(docs: DataFrame, v: Vocabulary, table: np.ndarray) -> Sums:
+    """The summed gradients of all of docs (text) at these weights.
+
+    What a task sends is of the table's size, so there are no more tasks than cores.
+    """
     sc = docs.sparkSession.sparkContext
-    shared_v = sc.broadcast(v)
-    for k in range(ROUNDS):
-        shared_m, rate = sc.broadcast(m), RATE / (1 + k)
-
-        def run(batches: Iterator[pa.RecordBatch], shared_m=shared_m, rate=rate) -> Iterator[pa.RecordBatch]:
-            after, seen = follow(_word_slices(batches), shared_v.value, shared_m.value, rate)
-            base = 0
-            for table, many in zip(after, seen):
-                for a in range(0, len(table), _BLOCK):
-                    if many[a : a + _BLOCK].any():
-                        weights = np.clip(table[a : a + _BLOCK], -60000, 60000).astype(np.float16)
-                        yield pa.record_batch([pa.array([base + a // _BLOCK], pa.int32()), pa.array([weights.tobytes()], pa.binary()), pa.array([np.minimum(many[a : a + _BLOCK], 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["block", "weights", "many"])
-                base += len(table) // _BLOCK
-
-        part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k).select("text")
-        parts = part.mapInArrow(run, "block int, weights binary, many binary")
-        tables = [m.classes.copy(), m.members.copy()]
-        for r in parts.groupBy("block").applyInArrow(_averaged, "block int, weights binary, there binary").collect():  # the model's size
-            table, at = (tables[0], r.block * _BLOCK) if r.block < CLASS_ROWS // _BLOCK else (tables[1], r.block * _BLOCK - CLASS_ROWS)
-            there = np.frombuffer(r.there, bool)
-            table[at : at + _BLOCK][there] = np.frombuffer(r.weights, np.float32).reshape(_BLOCK, -1)[there]
-        m = Model(*tables)
-    return v, m
+    shared = sc.broadcast((v, table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, table = shared.value
+        scorer, sums = Scorer(v, table), no_sums(len(table))
+        for w, row in _words(batches):
+            scorer.add_gradients(ids(w, v.bits), row, sums)
+        for a in range(0, len(table), _BLOCK):
+            if sums.seen[a : a + _BLOCK].any():
+                yield pa.record_batch([pa.array([a // _BLOCK], pa.int32()), pa.array([sums.gradient[a : a + _BLOCK].tobytes()], pa.binary()), pa.array([sums.seen[a : a + _BLOCK].tobytes()], pa.binary())], names=["block", "gradient", "seen"])
+        X.release()
+
+    schema = "block int, gradient binary, seen binary"
+    out = no_sums(len(table))
+    for r in docs.select("text").coalesce(sc.defaultParallelism).mapInArrow(run, schema).groupBy("block").applyInArrow(_added, schema).toLocalIterator():  # the table's size
+        at = slice(r.block * _BLOCK, (r.block + 1) * _BLOCK)
+        out.gradient[at], out.seen[at] = np.frombuffer(r.gradient, np.float32).reshape(-1, BRANCH), np.frombuffer(r.seen, np.float32)
+    shared.unpersist()
+    return out
+
+
+def train(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary and the weights of docs (doc_id, text)."""
+    counts = count_words(docs)
+    v = vocabulary(counts)
+    table = np.zeros((table_rows(int(counts.sum())), BRANCH), np.float32)
+    for k in range(STEPS):
+        table = stepped(table, gradients(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(STEPS)) == k), v, table))
+    return v, table
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -239,12 +307,13 @@ def scored(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(train(slim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, m = shared.value
+        v, table = shared.value
+        scorer = Scorer(v, table)
         for batch in batches:
             for a, b in X.slices(batch.column(1), _SLICE):
                 w = X.words(batch.column(1).slice(a, b - a))
                 n = np.diff(w.off)
-                total = X.row_sums(log_probabilities(ids(w), np.repeat(np.arange(b - a), n), v, m), w.off)
+                total = X.row_sums(scorer.log_probabilities(ids(w, v.bits), np.repeat(np.arange(b - a), n)), w.off)
                 mean = total / np.maximum(n, 1)
                 none = n == 0
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(n), pa.array(np.round(mean, 6), mask=none), pa.array(np.round(np.exp(-mean), 4), mask=none)], names=["doc_id", "n_words", "log_prob", "perplexity"])
