@@ -24,6 +24,36 @@ def scores(metric: str, vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return out if many else out[:, 0]
 
 
+def paired(metric: str, vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """The score of each row of vectors for the query of the same row."""
+    if metric == "l2":
+        return 1 / (1 + np.square(vectors - queries).sum(1))
+    dot = np.einsum("ij,ij->i", vectors, queries)
+    if metric == "dot_product":
+        return np.maximum((1 + dot) / 2, 0)
+    if metric == "inner_product":
+        return np.where(dot < 0, 1 / (1 - np.minimum(dot, 0)), dot + 1)
+    norm = np.sqrt(np.square(vectors).sum(1)) * np.sqrt(np.square(queries).sum(1))
+    return np.maximum((1 + np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)) / 2, 0)
+
+
+def promising(metric: str, vectors: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of all pairs that may be among a query's k best, whose k-th best was least so far.
+
+    Distances go by the expanded square, in one product of matrices; what rounding may hide is let through.
+    """
+    if metric == "l2":
+        a, b = np.square(vectors).sum(1), np.square(queries).sum(1)
+        d = a[:, None] + b[None] - 2 * (vectors @ queries.T)
+        about, slack = 1 / (1 + np.maximum(d, 0)), 1e-9 * (1 + a.max(initial=0) + b.max(initial=0))
+    else:
+        about = scores(metric, vectors, queries)
+        slack = 1e-9 * (1 + np.abs(about).max(initial=0))
+    if len(vectors) > k:
+        least = np.maximum(least, np.partition(about, len(vectors) - k, axis=0)[len(vectors) - k])
+    return np.nonzero(about >= least[None] - slack)
+
+
 def normalized(vectors: np.ndarray) -> np.ndarray:
     """Unit vectors; a zero vector stays."""
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)

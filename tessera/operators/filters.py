@@ -1,12 +1,17 @@
 """Filters as Columns: scalar, keyword, text, geo and existence predicates.
 
-All of them are false, not null, where the value is missing, so that they may be negated and combined freely. On an array
-column a predicate holds if any element meets it. Every filter is a built-in expression, so that it reaches the scan.
+A predicate on a plain column is a bare comparison, so that it reaches the scan; where the value is missing it is null, which
+where() takes for false. negated() turns that into true. On an array column a predicate holds if any element meets it. DATE
+values are milliseconds, on a column of milliseconds as on one of timestamps.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from datetime import datetime, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,9 +54,29 @@ def _literal(value, kind: T.DataType) -> Column:
     return F.lit(_checked(value, kind)).cast(kind)
 
 
+def _time(millis: int, kind: T.DataType) -> Column:
+    """The first moment of a millisecond."""
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_millis(F.lit(int(millis)))
+    return F.lit((datetime(1970, 1, 1) + timedelta(milliseconds=int(millis))).isoformat(" ")).cast(kind)
+
+
+def _bounds(value, kind: T.DataType) -> tuple[Column, Column] | None:
+    """For a timestamp column: where the millisecond begins and where the next does."""
+    if not isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return None
+    _checked(value, T.LongType())
+    return _time(value, kind), _time(value + 1, kind)
+
+
 def _any(df: DataFrame, field: str, test) -> Column:
     c, _, many = _element(df, field)
-    return F.coalesce(F.exists(c, test) if many else test(c), F.lit(False))
+    return F.coalesce(F.exists(c, test), F.lit(False)) if many else test(c)
+
+
+def negated(predicate: Column) -> Column:
+    """True where a predicate doesn't hold, also for want of a value."""
+    return ~F.coalesce(predicate, F.lit(False))
 
 
 def _ordered(df: DataFrame, field: str) -> T.DataType:
@@ -61,46 +86,60 @@ def _ordered(df: DataFrame, field: str) -> T.DataType:
     return kind
 
 
-def _number(x: Column, kind: T.DataType) -> Column:
-    return ~F.isnan(x) if kind.simpleString() in ("float", "double") else F.lit(True)
+def _number(x: Column, kind: T.DataType, test: Column) -> Column:
+    """Nothing is above NaN in a scan, so that it must be told apart."""
+    return test & ~F.isnan(x) if kind.simpleString() in ("float", "double") else test
 
 
 def eq(df: DataFrame, field: str, value) -> Column:
-    v = _literal(value, _element(df, field)[1])
+    kind = _element(df, field)[1]
+    if at := _bounds(value, kind):
+        return _any(df, field, lambda x: (x >= at[0]) & (x < at[1]))
+    v = _literal(value, kind)
     return _any(df, field, lambda x: x == v)
 
 
 def neq(df: DataFrame, field: str, value) -> Column:
-    return exists(df, field) & ~eq(df, field, value)
+    c, kind, many = _element(df, field)
+    if many or _bounds(value, kind):
+        return exists(df, field) & negated(eq(df, field, value))
+    return c.isNotNull() & (c != _literal(value, kind))
 
 
 def lt(df: DataFrame, field: str, value) -> Column:
     kind = _ordered(df, field)
-    v = _literal(value, kind)
-    return _any(df, field, lambda x: (x < v) & _number(x, kind))
+    v = (_bounds(value, kind) or [_literal(value, kind)])[0]
+    return _any(df, field, lambda x: x < v)
 
 
 def lte(df: DataFrame, field: str, value) -> Column:
     kind = _ordered(df, field)
+    if at := _bounds(value, kind):
+        return _any(df, field, lambda x: x < at[1])
     v = _literal(value, kind)
-    return _any(df, field, lambda x: (x <= v) & _number(x, kind))
+    return _any(df, field, lambda x: x <= v)
 
 
 def gt(df: DataFrame, field: str, value) -> Column:
     kind = _ordered(df, field)
+    if at := _bounds(value, kind):
+        return _any(df, field, lambda x: x >= at[1])
     v = _literal(value, kind)
-    return _any(df, field, lambda x: (x > v) & _number(x, kind))
+    return _any(df, field, lambda x: _number(x, kind, x > v))
 
 
 def gte(df: DataFrame, field: str, value) -> Column:
     kind = _ordered(df, field)
-    v = _literal(value, kind)
-    return _any(df, field, lambda x: (x >= v) & _number(x, kind))
+    v = (_bounds(value, kind) or [_literal(value, kind)])[0]
+    return _any(df, field, lambda x: _number(x, kind, x >= v))
 
 
 def between(df: DataFrame, field: str, low, high) -> Column:
     """Both ends inclusive."""
     kind = _ordered(df, field)
+    if at := _bounds(low, kind):
+        end = _bounds(high, kind)[1]
+        return _any(df, field, lambda x: (x >= at[0]) & (x < end))
     a, b = _literal(low, kind), _literal(high, kind)
     return _any(df, field, lambda x: (x >= a) & (x <= b))
 
@@ -109,12 +148,28 @@ def is_in(df: DataFrame, field: str, values: list) -> Column:
     if not values:
         return F.lit(False)
     kind = _element(df, field)[1]
+    if _bounds(values[0], kind):
+        times = [_bounds(v, kind) for v in dict.fromkeys(values)]
+        return _any(df, field, lambda x: reduce(or_, ((x >= a) & (x < b) for a, b in times)))
     literals = [_literal(v, kind) for v in dict.fromkeys(values)]
     return _any(df, field, lambda x: x.isin(literals))
 
 
 def not_in(df: DataFrame, field: str, values: list) -> Column:
-    return exists(df, field) & ~is_in(df, field, values)
+    c, kind, many = _element(df, field)
+    if many or not values or _bounds(values[0], kind):
+        return exists(df, field) & negated(is_in(df, field, values))
+    return c.isNotNull() & ~is_in(df, field, values)
+
+
+def scalar_filter(df: DataFrame, field: str, operator: str, *values) -> Column:
+    """The predicate of an operator by its name: eq, neq, lt, lte, gt, gte, range, in, not_in, exists or not_exists."""
+    if operator in ("in", "not_in"):
+        return (is_in if operator == "in" else not_in)(df, field, list(values))
+    by = {"eq": eq, "neq": neq, "lt": lt, "lte": lte, "gt": gt, "gte": gte, "range": between, "exists": exists, "not_exists": not_exists}
+    if operator not in by:
+        raise ValueError(f"unknown operator {operator!r}")
+    return by[operator](df, field, *values)
 
 
 def exists(df: DataFrame, field: str) -> Column:
@@ -123,7 +178,8 @@ def exists(df: DataFrame, field: str) -> Column:
 
 
 def not_exists(df: DataFrame, field: str) -> Column:
-    return ~exists(df, field)
+    c, _, many = _element(df, field)
+    return negated(exists(df, field)) if many else c.isNull()
 
 
 def where_in(df: DataFrame, field: str, values: list) -> DataFrame:
@@ -134,40 +190,57 @@ def where_in(df: DataFrame, field: str, values: list) -> DataFrame:
     table = df.sparkSession.createDataFrame([(_checked(v, kind),) for v in dict.fromkeys(values)], T.StructType([T.StructField("_value", kind)]))
     if not many:
         return df.join(table, F.col(f"`{field}`") == F.col("_value"), "left_semi")
-    return df.join(table, F.array_contains(F.col(f"`{field}`"), F.col("_value")), "left_semi")
+    # each distinct element meets the list once; a row that has several of them is one row again
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    each = placed.select("*", F.explode(F.array_distinct(F.col(f"`{field}`"))).alias("_value"))
+    return each.join(table, "_value", "left_semi").dropDuplicates(["_place"]).select(*df.columns)
 
 
 # text filters, on the tokens of an analysed column or on a keyword
 
 
-def _tokens(df: DataFrame, field: str, analyzer: str | None) -> Column:
-    c, _, many = _element(df, field)
-    return c if many else F.array(c) if analyzer is None else analyzers.tokens(c, analyzer)
+#: Analyzers whose tokens are parts of the text, and whether they are lower case.
+_PARTS = {"standard": True, "simple": True, "whitespace": False, "keyword": False}
 
 
-def _any_token(df: DataFrame, field: str, analyzer: str | None, test) -> Column:
-    return F.coalesce(F.exists(_tokens(df, field, analyzer), test), F.lit(False))
+def _any_token(df: DataFrame, field: str, analyzer: str | None, test, within=None) -> Column:
+    """A token passes a test; within is what the whole text must pass for that, which is cheaper than to cut it up."""
+    c, _, many = _element(df, field)
+    if many:
+        return F.coalesce(F.exists(c, test), F.lit(False))
+    if analyzer is None:
+        return test(c)
+    found = F.coalesce(F.exists(analyzers.tokens(c, analyzer), test), F.lit(False))
+    lower = _PARTS.get(analyzer.lower())
+    return found if within is None or lower is None else within(F.lower(c) if lower else c) & found
 
 
 def term(df: DataFrame, field: str, value: str, analyzer: str | None = None) -> Column:
     """A token equals value, which isn't analysed; analyzer None: the column is a keyword."""
-    return _any_token(df, field, analyzer, lambda t: t == value)
+    return _any_token(df, field, analyzer, lambda t: t == value, lambda text: text.contains(value))
 
 
 def prefix(df: DataFrame, field: str, value: str, analyzer: str | None = None) -> Column:
-    return _any_token(df, field, analyzer, lambda t: t.startswith(value))
+    return _any_token(df, field, analyzer, lambda t: t.startswith(value), lambda text: text.contains(value))
+
+
+def _begins(t: Column, literal: str, java: str) -> Column:
+    """A pattern after the letters that it begins with, which reach the scan."""
+    return t.startswith(literal) & t.rlike(java) if literal else t.rlike(java)
 
 
 def wildcard(df: DataFrame, field: str, pattern: str, analyzer: str | None = None) -> Column:
     """* and ? over a whole token; a backslash escapes."""
     java = wildcard_to_java(pattern)
-    return _any_token(df, field, analyzer, lambda t: t.rlike(java))
+    literal = re.match(r"[^*?\\]*", pattern)[0]
+    return _any_token(df, field, analyzer, lambda t: _begins(t, literal, java), lambda text: text.rlike(java[1:-2]))
 
 
 def regexp(df: DataFrame, field: str, pattern: str, analyzer: str | None = None) -> Column:
     """The expression must cover a whole token."""
     java = regexp_to_java(pattern)
-    return _any_token(df, field, analyzer, lambda t: t.rlike(java))
+    literal = "" if "|" in pattern else re.match(r"(?:[\w ](?![*?{+]))*", pattern, re.ASCII)[0]
+    return _any_token(df, field, analyzer, lambda t: _begins(t, literal, java), lambda text: text.rlike(java[1:-2]))
 
 
 # geo filters, on a struct of lat and lon
@@ -179,13 +252,12 @@ def _check(lat: float, lon: float) -> None:
 
 
 def geo_distance(lat: Column, lon: Column, at_lat: float, at_lon: float, meters: float) -> Column:
-    """Within meters of a point; a band of latitudes is tested first, which reaches the scan."""
+    """Within meters of a point; a band of latitudes is tested first, which reaches the scan of a stored latitude."""
     _check(at_lat, at_lon)
     if not (math.isfinite(meters) and meters >= 0):
         raise ValueError("a radius must be finite and not negative")
     reach = math.degrees(meters / _EARTH) + 1e-9
-    near = lat.between(at_lat - reach, at_lat + reach) & (haversine(lat, lon, F.lit(at_lat), F.lit(at_lon)) <= meters)
-    return F.coalesce(near, F.lit(False))
+    return lat.between(at_lat - reach, at_lat + reach) & (haversine(lat, lon, F.lit(at_lat), F.lit(at_lon)) <= meters)
 
 
 def geo_box(lat: Column, lon: Column, min_lat: float, max_lat: float, min_lon: float, max_lon: float) -> Column:
@@ -195,4 +267,4 @@ def geo_box(lat: Column, lon: Column, min_lat: float, max_lat: float, min_lon: f
     if min_lat > max_lat:
         raise ValueError("min_lat is greater than max_lat")
     across = lon.between(min_lon, max_lon) if min_lon <= max_lon else (lon >= min_lon) | (lon <= max_lon)
-    return F.coalesce(lat.between(min_lat, max_lat) & across, F.lit(False))
+    return lat.between(min_lat, max_lat) & across

@@ -18,8 +18,8 @@ from tessera.config import metric as canonical
 from tessera.config import top_k
 from tessera.functions import metrics
 
-#: Query vectors that go with one pass over the table; more are searched in several.
-QUERIES = 4_096
+#: Query vectors that go with one pass over the table; more are searched in several. Rows that are scored at once.
+QUERIES, ROWS = 4_096, 1_024
 
 
 def matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -84,17 +84,23 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_
 
         def nearest(batches: Iterator[pa.RecordBatch], shared=shared, dimension=dimension) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
-            kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(names)
+            who, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            least = np.full(len(names), -np.inf)  # the k-th best score of each query so far
             for batch in batches:
                 if not len(names):
                     continue
-                ids, score = batch.column(0).to_numpy(), metrics.scores(how, matrix(batch.column(1), dimension), q)
-                for j, (i, s) in enumerate(kept):
-                    i, s = np.concatenate((i, ids)), np.concatenate((s, score[:, j]))
-                    at = best(s, i, k)
-                    kept[j] = i[at], s[at]
-            for name, (i, s) in zip(names, kept):
-                yield pa.record_batch([pa.array(np.full(len(i), name)), pa.array(i), pa.array(s)], names=["query_id", "_row_id", "score"])
+                all_ids, x = batch.column(0).to_numpy(), matrix(batch.column(1), dimension)
+                for a in range(0, len(x), ROWS):
+                    row, j = metrics.promising(how, x[a : a + ROWS], q, k, least)
+                    who, ids = np.concatenate((who, j)), np.concatenate((ids, all_ids[a + row]))
+                    score = np.concatenate((score, metrics.paired(how, x[a + row], q[j])))
+                    order = np.lexsort((ids, -score, who))
+                    rank = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+                    order = order[rank < k]
+                    who, ids, score = who[order], ids[order], score[order]
+                    full = np.flatnonzero(np.bincount(who, minlength=len(names)) == k)
+                    least[full] = score[np.searchsorted(who, full, "right") - 1]
+            yield pa.record_batch([pa.array(names[who]), pa.array(ids), pa.array(score)], names=["query_id", "_row_id", "score"])
 
         one = rows.mapInArrow(nearest, "query_id long, _row_id long, score double")
         out = one if out is None else out.unionByName(one)
