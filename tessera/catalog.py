@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import TextParams
+from tessera.config import Field, Kind, Scalar, TextParams, fields
 from tessera.functions import analyzers
 from tessera.operators import filters as P
 from tessera.operators import fulltext as T
 from tessera.operators import ivf, queryparser, vector
+from tessera.plans.lineage import shared_folder
 from tessera.sources import index
+from tessera.streaming.ingest import append
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -132,8 +135,8 @@ def multi_value_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("date_range", "SELECT o_orderkey FROM orders WHERE epoch_ms(o_orderdate) BETWEEN 820454400000 AND 852076799999")
 def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _read(spark, sf_dir, "orders").withColumn("millis", F.unix_millis(F.col("o_orderdate").cast("timestamp")))
-    return df.where(P.between(df, "millis", 820454400000, 852076799999)).select("o_orderkey")
+    df = _read(spark, sf_dir, "orders")
+    return df.where(P.between(df, "o_orderdate", 820454400000, 852076799999)).select("o_orderkey")
 
 
 _GEO = "(SELECT c_custkey, CAST((c_custkey * 37) % 180 AS DOUBLE) - 90 AS lat, CAST((c_custkey * 73) % 360 AS DOUBLE) - 180 AS lon FROM customer)"
@@ -166,7 +169,7 @@ _MID = r"regexp_replace(regexp_replace({x}, '(\p{{L}})[''’.:·](\p{{L}})', '\1
 _NUM = r"regexp_replace(regexp_replace({x}, '(\p{{N}})[.,;''](\p{{N}})', '\1_\2', 'g'), '(\p{{N}})[.,;''](\p{{N}})', '\1_\2', 'g')"
 #: The tokens of the standard analyzer, but with _ for the marks within.
 _TOKENS = r"regexp_extract_all({text}, '[\p{{L}}\p{{N}}\p{{M}}_]+')".format(text=_NUM.format(x=_MID.format(x="lower(text)")))
-_D = f"d AS MATERIALIZED (SELECT doc_id AS _row_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL), s AS MATERIALIZED (SELECT count(*) AS n, avg(len(t)) AS mean FROM d)"
+_D = f"d AS MATERIALIZED (SELECT doc_id AS _row_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL), s AS MATERIALIZED (SELECT count(*) AS n, avg(len(t)) AS mean FROM d WHERE len(t) > 0)"
 
 
 def _source(spark: SparkSession, sf_dir: str) -> T.DocRows:
@@ -201,16 +204,35 @@ def _text(name: str, spec: Callable[[], T.Spec], sql: str | None) -> None:
 
 _LIC = T.Match("text", "license")
 _text("bm25_term", lambda: _LIC, _scored(["license"], "tf_0 > 0", _w(0)))
-_text("bm25_match_or", lambda: T.Match("text", "The MIT License"), _scored(["the", "mit", "license"], "tf_0 + tf_1 + tf_2 > 0", f"{_w(0)} + {_w(1)} + {_w(2)}"))
+_MATCH_SQL = _scored(["the", "mit", "license"], "tf_0 + tf_1 + tf_2 > 0", f"{_w(0)} + {_w(1)} + {_w(2)}")
+_text("bm25_match_or", lambda: T.Match("text", "The MIT License"), _MATCH_SQL)
 _text("bm25_match_and", lambda: T.Match("text", "public license", TextParams("AND", 2.0)), _scored(["public", "license"], "tf_0 > 0 AND tf_1 > 0", f"({_w(0)} + {_w(1)}) * 2"))
 _text("bm25_bool", lambda: T.Bool((_LIC,), (T.Match("text", "mit"), T.Match("text", "public")), (T.Match("text", "apache"),)), _scored(["license", "mit", "public", "apache"], "tf_0 > 0 AND tf_3 = 0", f"{_w(0)} + {_w(1)} + {_w(2)}"))
 _text("bm25_pure_negative", lambda: T.Bool(must_not=(T.Match("text", "the"),)), _scored(["the"], "tf_0 = 0", "(1.0 + 0 * tf_0)"))
 _text("bm25_boost", lambda: T.Boost(_LIC, T.Match("text", "mit"), 0.2), _scored(["license", "mit"], "tf_0 > 0", f"{_w(0)} * CASE WHEN tf_1 > 0 THEN 0.2 ELSE 1 END"))
-_text("bm25_fuzzy", lambda: T.Match("text", "lisence", TextParams(fuzziness=2)), None)
-_text("bm25_query_string", lambda: queryparser.parse('+license -mit "general public"^2', "text", {"text": "standard"}), None)
-_text("bm25_phrase_slop", lambda: T.Phrase("text", "licensed license", 3), None)
+_text(
+    "bm25_fuzzy",
+    lambda: T.Match("text", "lisence", TextParams(fuzziness=2)),
+    f"""WITH {_D}, e AS MATERIALIZED (SELECT _row_id, len(t) AS dl, unnest(t) AS term FROM d), v AS (SELECT term, count(DISTINCT _row_id) AS df FROM e GROUP BY term),
+x AS (SELECT term, df, damerau_levenshtein(term, 'lisence') AS edits FROM v WHERE edits <= 2 ORDER BY edits, term LIMIT 50),
+y AS (SELECT term, CASE WHEN edits = 0 THEN 1.0 ELSE 1 - edits / least(length(term), 7) END AS boost, max(df) OVER () AS df FROM x),
+f AS (SELECT _row_id, dl, term, CAST(count(*) AS DOUBLE) AS tf FROM e GROUP BY ALL)
+SELECT _row_id, round(sum(boost * {_idf('df')} * tf / (tf + 1.2 * (0.25 + 0.75 * dl / s.mean))), 6) AS score FROM f JOIN y USING (term), s GROUP BY _row_id ORDER BY score DESC, _row_id LIMIT 20""",
+)
+_PAIR = "CAST(len(list_filter(range(1, len(t)), lambda k: t[k] = 'general' AND t[k + 1] = 'public')) AS DOUBLE)"
+_text(
+    "bm25_query_string",
+    lambda: queryparser.parse('+license -mit "general public"^2', "text", {"text": "standard"}),
+    _scored(["license", "mit", "general", "public"], "tf_0 > 0 AND tf_1 = 0", f"{_w(0)} + CASE WHEN {_PAIR} > 0 THEN 2 * ({_idf('df_2')} + {_idf('df_3')}) * {_tfn(_PAIR)} ELSE 0 END"),
+)
+_AT = "list_filter(range(1, len(t) + 1), lambda k: t[k] = '{w}')"
+_A, _B = _AT.format(w="licensed"), f"list_transform({_AT.format(w='license')}, lambda k: k - 1)"
+_NEAR = f"list_transform(list_distinct(list_concat({_A}, {_B})), lambda x: greatest(list_min(list_filter({_A}, lambda y: y >= x)) + 0 * list_min(list_filter({_B}, lambda y: y >= x)), list_min(list_filter({_B}, lambda y: y >= x)) + 0 * list_min(list_filter({_A}, lambda y: y >= x))) - x)"
+_SLOPPY = f"coalesce(list_sum(list_transform(list_filter({_NEAR}, lambda e: e <= 3), lambda e: 1.0 / (1 + e))), 0.0)"
+_text("bm25_phrase_slop", lambda: T.Phrase("text", "licensed license", 3), _scored(["licensed", "license"], f"{_SLOPPY} > 0", f"({_idf('df_0')} + {_idf('df_1')}) * {_tfn(_SLOPPY)}"))
 _PHRASE = "CAST(len(list_filter(range(1, len(t) - 1), lambda k: t[k] = 'general' AND t[k + 1] = 'public' AND t[k + 2] = 'license')) AS DOUBLE)"
-_text("bm25_phrase", lambda: T.Phrase("text", "general public license"), _scored(["general", "public", "license"], f"{_PHRASE} > 0", f"({_idf('df_0')} + {_idf('df_1')} + {_idf('df_2')}) * {_tfn(_PHRASE)}"))
+_PHRASE_SQL = _scored(["general", "public", "license"], f"{_PHRASE} > 0", f"({_idf('df_0')} + {_idf('df_1')} + {_idf('df_2')}) * {_tfn(_PHRASE)}")
+_text("bm25_phrase", lambda: T.Phrase("text", "general public license"), _PHRASE_SQL)
 _filter("text_term", "documents", "doc_id", lambda d: P.term(d, "text", "license", "standard"), f"list_contains({_TOKENS}, 'license')")
 _filter("text_prefix", "documents", "doc_id", lambda d: P.prefix(d, "text", "licen", "standard"), f"len(list_filter({_TOKENS}, lambda x: starts_with(x, 'licen'))) > 0")
 _filter("text_wildcard", "documents", "doc_id", lambda d: P.wildcard(d, "text", "l?c*se", "standard"), f"len(list_filter({_TOKENS}, lambda x: regexp_full_match(x, 'l.c.*se'))) > 0")
@@ -224,12 +246,24 @@ def text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _analyzer(name: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(analyzers.tokens(F.col("text"), name)).alias("n"))
+        return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(analyzers.tokens(F.col("text"), name), "|").alias("tokens"))
 
-    query(f"analyzer_{name}", f"SELECT conv_id, turn, CAST(len({sql}) AS INTEGER) AS n FROM conversations")(run)
+    query(f"analyzer_{name}", f"SELECT conv_id, turn, array_to_string({sql}, '|') AS tokens FROM conversations")(run)
 
 
-_analyzer("standard", _TOKENS)
+def _standard_sql() -> str:
+    """The tokens of the standard analyzer: each mark within a word or a number stands for itself as a private letter."""
+    marks = [(m, "L") for m in "'’.:·"] + [(m, "N") for m in ".,;'"]
+    text, back = "lower(text)", "x"
+    for k, (m, kind) in enumerate(marks):
+        q = m.replace("'", "''").replace(".", r"\.")
+        for _ in range(2):
+            text = rf"regexp_replace({text}, '(\p{{{kind}}}){q}(\p{{{kind}}})', '\1' || chr({0xE000 + k}) || '\2', 'g')"
+        back = f"replace({back}, chr({0xE000 + k}), '{m.replace(chr(39), chr(39) * 2)}')"
+    return rf"list_transform(regexp_extract_all({text}, '[\p{{L}}\p{{N}}\p{{M}}_\x{{E000}}-\x{{E00F}}]+'), lambda x: {back})"
+
+
+_analyzer("standard", _standard_sql())
 _analyzer("whitespace", r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')")
 _analyzer("simple", r"regexp_extract_all(lower(text), '\p{L}+')")
 _analyzer("keyword", "[text]")
@@ -350,3 +384,86 @@ def ivf_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("row_id_gaps", "SELECT i AS _row_id, c_name FROM range((SELECT max(c_custkey) * 2 + 1 FROM customer)) r(i) LEFT JOIN customer ON i = c_custkey * 2")
 def row_id_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.with_gaps(_read(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("_row_id"), "c_name"))
+
+
+# written indexes, in the folder that all executors share
+
+
+def _home(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tessera-index-{uuid.uuid4().hex}"
+
+
+_TEXTS = fields(Field("text", Kind.FULLTEXT), Field("lang", Kind.KEYWORD), Field("source", Kind.KEYWORD), Field("n_chars", Kind.SCALAR, Scalar.LONG))
+
+
+def _build_texts(spark: SparkSession, sf_dir: str) -> index.Index:
+    return index.build(_read(spark, sf_dir, "documents"), _TEXTS, _home(spark), "doc_id")
+
+
+def _build_vectors(spark: SparkSession, sf_dir: str) -> index.Index:
+    df = _read(spark, sf_dir, "embeddings")
+    size = len(df.first().embedding)
+    cells = {"metric": "l2", "vectors_per_cluster": "64"}
+    declared = fields(Field("label", Kind.SCALAR, Scalar.INT), Field("flat", Kind.VECTOR, dimension=size), Field("ivf", Kind.VECTOR, dimension=size, algorithm="IVF", params=cells))
+    return index.build(df.select("vec_id", "label", F.col("embedding").alias("flat"), F.col("embedding").alias("ivf")), declared, _home(spark), "vec_id")
+
+
+def _built(spark: SparkSession, sf_dir: str, build: Callable[[SparkSession, str], index.Index]) -> index.Index:
+    """An index of a session's tables, built when it is first asked for, and opened."""
+    there = spark.sparkContext.__dict__.setdefault("_tessera_indexes", {})
+    if (build, sf_dir) not in there:
+        there[build, sf_dir] = build(spark, sf_dir).path
+    return index.Index(spark, there[build, sf_dir])
+
+
+@query("index_build_open", "SELECT i AS _row_id, lang, source, n_chars FROM range((SELECT max(doc_id) + 1 FROM documents)) r(i) LEFT JOIN documents ON i = doc_id")
+def index_build_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of an index that is built anew and opened; ids that the table lacks are rows of nulls."""
+    spark.sparkContext.__dict__.setdefault("_tessera_indexes", {}).pop((_build_texts, sf_dir), None)
+    return _built(spark, sf_dir, _build_texts).rows.select("_row_id", "lang", "source", "n_chars")
+
+
+@query("index_match", _MATCH_SQL)
+def index_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_built(spark, sf_dir, _build_texts).full_text_search(T.Match("text", "The MIT License"), 20))
+
+
+@query("index_phrase", _PHRASE_SQL)
+def index_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_built(spark, sf_dir, _build_texts).full_text_search('"general public license"', 20, "text"))
+
+
+@query("index_match_filter", ORACLE_SQL["text_match"])
+def index_match_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir, _build_texts).match_filter("MIT gnu", "text")
+
+
+@query("index_filter", "SELECT doc_id AS _row_id FROM documents WHERE lang = 'fr' AND n_chars BETWEEN 500 AND 5000")
+def index_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir, _build_texts).filter(lambda d: P.eq(d, "lang", "fr") & P.between(d, "n_chars", 500, 5000))
+
+
+@query("index_append", _MATCH_SQL)
+def index_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of the first half of the ids, to which the rest is appended, searched as one."""
+    docs = _read(spark, sf_dir, "documents")
+    half = docs.agg(F.max("doc_id")).first()[0] // 2
+    made = index.build(docs.where(F.col("doc_id") <= half), _TEXTS, _home(spark), "doc_id")
+    append(made, docs.where(F.col("doc_id") > half), "doc_id")
+    return _rounded(index.Index(spark, made.path).full_text_search(T.Match("text", "The MIT License"), 20))
+
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return _first(_vectors(spark, sf_dir))
+
+
+@query("index_knn", _knn_sql("l2", "label = 3"))
+def index_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _built(spark, sf_dir, _build_vectors)
+    return _rounded(made.vector_search("flat", _query_vector(spark, sf_dir), 10, made.filter(lambda d: P.eq(d, "label", 3))))
+
+
+@query("index_ivf", _knn_sql("l2"))
+def index_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All clusters probed from disk, all rows scored exactly."""
+    return _rounded(_built(spark, sf_dir, _build_vectors).vector_search("ivf", _query_vector(spark, sf_dir), 10, n_probe=1 << 30, oversample=1e6))

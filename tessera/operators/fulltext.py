@@ -5,14 +5,19 @@ its score, so that a whole tree costs one pass and no join. What a row knows of
 looks into the tokens of each document; PostingRows reads only the postings of the query's terms.
 
 Matches of phrases with slop: the words' positions, each less its place in the phrase, spread over at most slop; every
-lowest position that starts such a spread d counts 1 / (1 + d).
+lowest position that starts such a spread d counts 1 / (1 + d). A word that the phrase has twice needs two positions.
+
+The number of rows with a field and their mean length count rows with at least one token.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +25,8 @@ from tessera.config import TextParams, top_k
 from tessera.functions import analyzers
 from tessera.functions.distance import edits
 from tessera.functions.terms import regexp_to_java, wildcard_to_java
+from tessera.plans.lineage import cut
+from tessera.plans.spread import spread
 
 K1, B = 1.2, 0.75
 MAX_DEPTH = 64
@@ -128,37 +135,65 @@ def leaves(spec: Spec, depth: int = 0) -> list[Spec]:
     return [x for c in below for x in leaves(c, depth + 1)] if below else [spec]
 
 
+def _found(tokens: Column, terms: list[str]) -> Column:
+    """The tokens that are among terms, with their positions."""
+    return F.filter(F.transform(tokens, lambda x, k: F.struct(x.alias("t"), k.alias("at"))), lambda x: x["t"].isin(terms))
+
+
 class DocRows:
-    """Rows of documents with a column of tokens for each field, named as the field."""
+    """Rows of documents without an index: their texts are cut into tokens once for a query, of which a narrow table of the
+    query's own terms is kept."""
 
     def __init__(self, docs: DataFrame, fields: dict[str, str], id_column: str = "_row_id") -> None:
         """fields: the analyzer of each text column."""
         self.analyzer = dict(fields)
-        tokens = F.struct(*(analyzers.tokens(F.col(f"`{f}`"), a).alias(f) for f, a in fields.items()))
-        # behind a generator, so that filters on tokens aren't pushed down, which would analyse a text once per use
-        self.rows = docs.select(F.col(id_column).alias("_row_id"), F.explode(F.array(tokens)).alias("_tokens")).select("_row_id", "_tokens.*")
+        self.docs = docs.select(F.col(id_column).alias("_row_id"), *(F.col(f"`{f}`") for f in fields))
+        self.rows: DataFrame | None = None
+        self.number = {f: k for k, f in enumerate(fields)}
+        self.patterns: list[Pattern] = []
+
+    def _tokens(self, fields: Iterable[str]) -> DataFrame:
+        tokens = F.struct(*(analyzers.tokens(F.col(f"`{f}`"), self.analyzer[f]).alias(f) for f in fields))
+        # behind a generator, so that a text isn't cut up once per use
+        return spread(self.docs).select("_row_id", F.explode(F.array(tokens)).alias("_tokens")).select("_row_id", "_tokens.*")
+
+    def gather(self, terms: dict[str, set[str]], patterns: list[Pattern]) -> None:
+        """Look through the documents for these terms and patterns."""
+        self.patterns = list(dict.fromkeys(patterns))
+        fields = dict.fromkeys([*terms, *(p.field for p in patterns)])
+        if not fields:
+            self.rows = self.docs.select("_row_id")
+            return
+        columns = []
+        for f in fields:
+            t = F.col(f"`{f}`")
+            columns += [F.size(t).alias(f"n{self.number[f]}"), _found(t, sorted(terms.get(f, ()))).alias(f"at{self.number[f]}")]
+        columns += [F.coalesce(F.exists(F.col(f"`{p.field}`"), p.test), F.lit(False)).alias(f"p{k}") for k, p in enumerate(self.patterns)]
+        self.rows = cut(self._tokens(fields).select("_row_id", *columns))
 
     def dl(self, f: str) -> Column:
-        return F.size(F.col(f"`{f}`"))
+        return F.col(f"n{self.number[f]}")
+
+    def _at(self, f: str, term: str) -> Column:
+        return F.filter(F.col(f"at{self.number[f]}"), lambda x: x["t"] == term)
 
     def tf(self, f: str, term: str) -> Column:
-        return F.coalesce(F.size(F.filter(F.col(f"`{f}`"), lambda t: t == term)), F.lit(0))
+        return F.coalesce(F.size(self._at(f, term)), F.lit(0))
 
     def positions(self, f: str, term: str) -> Column:
-        at = F.transform(F.col(f"`{f}`"), lambda t, k: F.when(t == term, k))
-        return F.filter(at, lambda k: k.isNotNull())
+        return F.transform(self._at(f, term), lambda x: x["at"])
 
     def any_token(self, f: str, spec: Pattern) -> Column:
-        return F.coalesce(F.exists(F.col(f"`{f}`"), spec.test), F.lit(False))
+        return F.col(f"p{self.patterns.index(spec)}")
 
     def prepare(self, terms: dict[str, set[str]], patterns: list[Pattern], every_row: bool) -> DataFrame:
         return self.rows
 
     def statistics(self, terms: dict[str, set[str]]) -> dict[str, tuple[int, float, dict[str, int]]]:
-        """Of each field: the rows that have it, their mean length, and the rows of each term; one pass."""
+        """Of each field: the rows that have it, their mean length, and the rows of each term; over the narrow table."""
         asked = [(f, t) for f, ts in terms.items() for t in sorted(ts)]
-        aggregates = [x for f in terms for x in (F.count(F.col(f"`{f}`")), F.sum(F.when(F.col(f"`{f}`").isNotNull(), self.dl(f))))]
-        aggregates += [F.count(F.when(F.array_contains(F.col(f"`{f}`"), t), 1)) for f, t in asked]
+        aggregates = [x for f in terms for x in (F.count(F.when(self.dl(f) > 0, 1)), F.sum(F.when(self.dl(f) > 0, self.dl(f))))]
+        aggregates += [F.count(F.when(self.tf(f, t) > 0, 1)) for f, t in asked]
         got = self.rows.agg(*(a.alias(f"a{k}") for k, a in enumerate(aggregates))).first() if aggregates else ()
         out = {}
         for k, f in enumerate(terms):
@@ -167,8 +202,24 @@ class DocRows:
         return out
 
     def dictionary(self, f: str) -> DataFrame:
-        """term, df."""
-        return self.rows.select(F.explode(F.array_distinct(F.col(f"`{f}`"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        """The terms."""
+        return self._tokens([f]).select(F.explode(F.array_distinct(F.col(f"`{f}`"))).alias("term")).distinct()
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_row_id, term, tf, positions, dl) of rows (_row_id, tokens)."""
+    for batch in batches:
+        lists = batch.column(1)
+        dl = np.diff(lists.offsets.to_numpy()) if not lists.null_count else np.array([len(x) if x.is_valid else 0 for x in lists])
+        coded = lists.flatten().dictionary_encode()
+        row, code = np.repeat(np.arange(len(dl)), dl), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(dl) - dl, dl)
+        order = np.argsort(row * np.int64(len(coded.dictionary) + 1) + code, kind="stable")
+        row, code, at = row[order], code[order], at[order]
+        new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))) if len(row) else np.zeros(0, np.int64)
+        ends = np.append(new, len(row))
+        positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
+        yield pa.record_batch([batch.column(0).take(pa.array(row[new])), coded.dictionary.take(pa.array(code[new])), pa.array(np.diff(ends), pa.int32()), positions, pa.array(dl[row[new]], pa.int32())], names=["_row_id", "term", "tf", "positions", "dl"])
 
 
 class PostingRows:
@@ -179,19 +230,20 @@ class PostingRows:
 
     @staticmethod
     def build(docs: DataFrame, fields: dict[str, str], id_column: str = "_row_id") -> DataFrame:
-        """The postings of a table."""
+        """The postings of a table; a row's are made where its text is, nothing is shuffled."""
         parts = []
         for f, a in fields.items():
-            toks = docs.select(F.col(id_column).alias("_row_id"), analyzers.tokens(F.col(f"`{f}`"), a).alias("t")).withColumn("dl", F.size("t"))
-            each = toks.select("_row_id", "dl", F.posexplode("t").alias("pos", "term"))
-            # a row's tokens are together already: the partial aggregation leaves one line per row and term
-            grouped = each.groupBy("_row_id", "term", "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-            parts.append(grouped.select(F.lit(f).alias("field"), "term", "_row_id", "tf", "positions", "dl"))
+            tokens = docs.select(F.col(id_column).cast("long").alias("_row_id"), F.col(f"`{f}`").alias("text")).where("text IS NOT NULL").select("_row_id", analyzers.tokens(F.col("text"), a).alias("t"))
+            each = tokens.mapInArrow(_postings, "_row_id long, term string, tf int, positions array<int>, dl int")
+            parts.append(each.select(F.lit(f).alias("field"), "term", "_row_id", "tf", "positions", "dl"))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
+    def gather(self, terms: dict[str, set[str]], patterns: list[Pattern]) -> None:
+        """All of it is there."""
+
     def _of(self, f: str, term: str) -> Column:
         return F.col("terms")[F.lit(f"{f}\0{term}")]
 
@@ -235,18 +287,26 @@ class PostingRows:
         return out
 
     def dictionary(self, f: str) -> DataFrame:
-        return self.postings.where(F.col("field") == f).groupBy("term").agg(F.count("*").alias("df"))
+        return self.postings.where(F.col("field") == f).select("term").distinct()
 
 
 def expand(source, f: str, word: str, max_edits: int, prefix_length: int, max_expansions: int) -> list[tuple[str, float]]:
-    """The terms within max_edits of word and their boosts, the nearest first; only near candidates leave the executors."""
+    """The terms within max_edits of word and their boosts, the nearest first; executors find them, max_expansions of each
+    task at most are sorted."""
     if not max_edits:
         return [(word, 1.0)]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[int, str]] = []
+        for batch in batches:
+            best += [(d, t) for t in batch.column(0).to_pylist() if (d := edits(t, word, max_edits)) <= max_edits]
+            best = sorted(best)[:max_expansions]
+        yield pa.record_batch([pa.array([d for d, _ in best], pa.int32()), pa.array([t for _, t in best], pa.string())], names=["d", "term"])
+
     t = F.col("term")
     near = (F.abs(F.length(t) - len(word)) <= max_edits) & t.startswith(word[:prefix_length]) & (F.levenshtein(t, F.lit(word), 2 * max_edits) >= 0)
-    found = [(edits(r.term, word, max_edits), r.term) for r in source.dictionary(f).where(near).select("term").toLocalIterator()]
-    best = sorted((d, x) for d, x in found if d <= max_edits)[:max_expansions]
-    return [(x, 1.0 if d == 0 else 1.0 - d / min(len(x), len(word))) for d, x in best]
+    best = source.dictionary(f).where(near).select("term").mapInArrow(nearest, "d int, term string").orderBy("d", "term").limit(max_expansions).collect()
+    return [(r.term, 1.0 if r.d == 0 else 1.0 - r.d / min(len(r.term), len(word))) for r in best]
 
 
 class Compiler:
@@ -264,6 +324,7 @@ class Compiler:
                 self.patterns.append(leaf)
                 continue
             self.terms.setdefault(leaf.field, set()).update(t for group in self.groups(leaf) for t, _ in group)
+        source.gather(self.terms, self.patterns)
         self.stats = source.statistics(self.terms)
 
     def groups(self, leaf: Spec) -> list[list[tuple[str, float]]]:
@@ -315,13 +376,27 @@ class Compiler:
             freq = F.size(common).cast("double")
         else:
             starts = F.array_distinct(F.flatten(F.array(*lists)))
-            spread = lambda x: F.aggregate(F.array(*(F.array_min(F.filter(at, lambda y: y >= x)) for at in lists)), F.lit(0), lambda acc, y: F.when(y.isNull() | acc.isNull(), None).otherwise(F.greatest(acc, y - x)))
-            weights = F.transform(F.filter(F.transform(starts, spread), lambda d: d <= leaf.slop), lambda d: 1.0 / (1 + d))
-            freq = F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)
+            spreads = F.filter(F.transform(starts, lambda x: self._spread(leaf.field, words, x)), lambda d: d <= leaf.slop)
+            freq = F.aggregate(F.transform(spreads, lambda d: 1.0 / (1 + d)), F.lit(0.0), lambda a, b: a + b)
         freq = F.coalesce(F.when(F.size(lists[0]) >= 0, freq), F.lit(0.0))
         idf = sum(self.idf(leaf.field, self.stats[leaf.field][2][w]) for w in words)
         return freq > 0, F.when(freq > 0, self.bm25(leaf.field, freq, idf)).otherwise(0.0)
 
+    def _spread(self, f: str, words: list[str], x: Column) -> Column:
+        """How far the nearest places of the words from x on, each less its place in the phrase, reach beyond x; null if a
+        word has none or none is at x. Of equal words each takes a position after the one before it."""
+
+        def from_word(k: int, least: Column, most: Column, taken: dict[str, Column]) -> Column:
+            if k == len(words):
+                return F.when(least == x, most - x)
+            begin = F.greatest(x + k, taken[words[k]] + 1) if words[k] in taken else x + k
+            place = F.array_min(F.filter(self.source.positions(f, words[k]), lambda y: y >= begin))
+            # bound once, as an array of one
+            bound = lambda p: F.when(p.isNotNull(), from_word(k + 1, F.least(least, p - k), F.greatest(most, p - k), taken | {words[k]: p}))
+            return F.transform(F.array(place), bound)[0]
+
+        return from_word(0, F.lit(1 << 30), F.lit(-(1 << 30)), {})
+
     def columns(self, spec: Spec) -> tuple[Column, Column]:
         """Whether a row matches, and its score if it does."""
         if isinstance(spec, Pattern):

@@ -8,13 +8,14 @@ in cluster order with quantised codes, so a search reads the probed clusters alo
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,8 +29,12 @@ from tessera.plans.lineage import cut
 VECTORS_PER_CLUSTER, LEAST_PER_CLUSTER = 384, 64
 FLAT = 3
 MOST_SPLITS, SAMPLE, STEPS, SEED = 128, 64, 6, 42
+#: Centroids of up to so many bytes are broadcast; more travel beside the rows of their cluster, of which a task has about
+#: TASK_ROWS.
+BROADCAST_BYTES, TASK_ROWS = 64 << 20, 100_000
 OVERSIZE = 1.34
 SOAR = 1.0
+_STATE = "_row_id long, vector array<double>, cluster_id long, parent_id long"
 #: Sample rows, and the neighbours of each, by which the share to visit is found; the share of them to be reached.
 PROBES, NEIGHBOURS, TARGET = 64, 10, 0.97
 
@@ -86,17 +91,7 @@ def build(df: DataFrame, dimension: int, metric: str = "l2", vectors_per_cluster
         raise ValueError(f"vectors_per_cluster must be from {LEAST_PER_CLUSTER} to 65536")
     if bits not in BITS:
         raise ValueError(f"bits must be one of {BITS}")
-    turn = rotation(dimension) if rotate else None
-
-    def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = matrix(batch.column(1), dimension)
-            x = metrics.normalized(x) if how == "cosine" else x
-            yield pa.record_batch([batch.column(0), _vectors(x if turn is None else x @ turn), pa.array(np.zeros(len(x), np.int64)), pa.array(np.full(len(x), -1))], names=["_row_id", "vector", "cluster_id", "parent_id"])
-
-    rows = df.select(F.col(id_column).cast("long").alias("_row_id"), F.col(vector_column).alias("vector")).where(F.col("vector").isNotNull())
-    state = "_row_id long, vector array<double>, cluster_id long, parent_id long"
-    rows = cut(rows.mapInArrow(prepared, state))
+    rows = cut(_prepared(df, dimension, how, rotate, id_column, vector_column))
     n = rows.count()
     centroids = cut(_means(rows, dimension))
     while n > FLAT * vectors_per_cluster:
@@ -106,7 +101,7 @@ def build(df: DataFrame, dimension: int, metric: str = "l2", vectors_per_cluster
         found = cut(_splits(rows, large, vectors_per_cluster, dimension))
         if found.groupBy("cluster_id").count().where("count > 1").isEmpty():
             break  # equal vectors can't be parted
-        rows = cut(_reassigned(rows, found, dimension, state))
+        rows = cut(_reassigned(rows, found, dimension, _STATE))
         centroids = cut(centroids.join(found.select("cluster_id").distinct(), "cluster_id", "left_anti").unionByName(found.select(F.col("child").alias("cluster_id"), F.col("cluster_id").alias("parent_id"), "centroid")))
     members = rows.select("_row_id", "vector", "cluster_id")
     if spill:
@@ -144,8 +139,20 @@ def _vectors(x: np.ndarray) -> pa.Array:
 
 
 def _means(rows: DataFrame, dimension: int) -> DataFrame:
-    mean = F.array(*(F.avg(F.col("vector")[k]) for k in range(dimension)))
-    return rows.groupBy("cluster_id", "parent_id").agg(mean.alias("centroid"))
+    """The centroid of all rows, as cluster 0; each task sends one sum."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(dimension), 0
+        for batch in batches:
+            total += matrix(batch.column(0), dimension).sum(axis=0)
+            n += batch.num_rows
+        if n:
+            yield pa.record_batch([_vectors(total[None]), pa.array([n])], names=["total", "n"])
+
+    parts = rows.select("vector").mapInArrow(summed, "total array<double>, n long").select("n", F.posexplode("total").alias("k", "x"))
+    mean = parts.groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x"))
+    all_k = mean.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda v: v["x"]).alias("centroid"))  # a row per dimension
+    return all_k.where(F.size("centroid") > 0).select(F.lit(0).cast("long").alias("cluster_id"), F.lit(-1).cast("long").alias("parent_id"), "centroid")
 
 
 def _splits(rows: DataFrame, large: DataFrame, target: int, dimension: int) -> DataFrame:
@@ -163,45 +170,138 @@ def _splits(rows: DataFrame, large: DataFrame, target: int, dimension: int) -> D
     return some.groupBy("cluster_id").applyInArrow(split, "cluster_id long, child long, centroid array<double>")
 
 
-def _lists(found: DataFrame, by: str, child: str) -> DataFrame:
-    return found.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(child).alias("child"), "centroid"))).alias("all")).select(by, F.col("all.child").alias("children"), F.flatten("all.centroid").alias("centroids"))
+def _beside(rows: DataFrame, found: DataFrame, by: str, dimension: int, work: Callable, schema: str) -> DataFrame:
+    """work(part, children, centroids) for the rows of each cluster `by`, with the centroids (child, centroid) found for it;
+    both are None where none were."""
+    found = cut(found.select(by, "child", "centroid"))
+    if found.count() * dimension * 8 <= BROADCAST_BYTES:
+        got = found.orderBy(by, "child").toArrow()
+        c = matrix(got.column("centroid").combine_chunks(), dimension) if got.num_rows else np.zeros((0, dimension))
+        shared = rows.sparkSession.sparkContext.broadcast((got.column(by).to_numpy(), got.column("child").to_numpy(), c))
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, children, c = shared.value
+            for batch in batches:
+                own = batch.column(by).to_numpy()
+                order = np.argsort(own, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+                    if len(part):
+                        a, b = np.searchsorted(names, own[part[0]]), np.searchsorted(names, own[part[0]], "right")
+                        yield work(batch.take(pa.array(part)), *((children[a:b], c[a:b]) if b > a else (None, None)))
+
+        return rows.mapInArrow(run, schema)
+    # a cluster's centroids come before its rows, once for each of the tasks that share it
+    tasks = cut(rows.groupBy(by).agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("tasks")))
+    one = rows.join(tasks, by).withColumn("salt", F.pmod(F.xxhash64("_row_id"), F.col("tasks")).cast("int"))
+    many = found.join(tasks, by).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    columns = [F.col(c) for c in rows.columns]
+    both = one.select(F.col(by).alias("_by"), "salt", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("child"), F.struct(*columns).alias("row"), F.lit(None).cast("array<double>").alias("centroid"))
+    both = both.unionByName(many.select(F.col(by).alias("_by"), "salt", F.lit(0).alias("kind"), "child", F.lit(None).cast(both.schema["row"].dataType).alias("row"), "centroid"))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, children, c = None, [], []
+        for batch in batches:
+            own, kind = np.stack([batch.column(k).to_numpy() for k in (0, 1)]), batch.column(2).to_numpy()
+            for part in np.split(np.arange(batch.num_rows), np.flatnonzero((np.diff(own) != 0).any(axis=0) | (np.diff(kind) != 0)) + 1):
+                if not len(part):
+                    continue
+                key, some = (int(own[0, part[0]]), int(own[1, part[0]])), batch.slice(int(part[0]), len(part))
+                if key != name:
+                    name, children, c = key, [], []
+                if kind[part[0]] == 0:
+                    children.append(some.column(3).to_numpy())
+                    c.append(matrix(some.column(5), dimension))
+                else:
+                    inner = pa.RecordBatch.from_struct_array(some.column(4))
+                    yield work(inner, *((np.concatenate(children), np.concatenate(c)) if children else (None, None)))
 
-def _by_list(batch: pa.RecordBatch, dimension: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, children, centroids) of a batch (..., children, centroids), by the list that they share."""
-    first = np.array([c[0].as_py() if c.is_valid and len(c) else -1 for c in batch.column("children")])
-    for name in np.unique(first):
-        at = np.flatnonzero(first == name)
-        if name >= 0:
-            k = int(at[0])
-            yield at, batch.column("children")[k].values.to_numpy(), batch.column("centroids")[k].values.to_numpy().reshape(-1, dimension)
+    return both.repartition("_by", "salt").sortWithinPartitions("_by", "salt", "kind", "child").mapInArrow(stream, schema)
 
 
 def _reassigned(rows: DataFrame, found: DataFrame, dimension: int, schema: str) -> DataFrame:
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = matrix(batch.column("vector"), dimension)
-            own, parent = batch.column("cluster_id").to_numpy().copy(), batch.column("parent_id").to_numpy().copy()
-            for at, children, c in _by_list(batch, dimension):
-                parent[at] = own[at]
-                own[at] = children[nearest(x[at], c)]
-            yield pa.record_batch([batch.column("_row_id"), batch.column("vector"), pa.array(own), pa.array(parent)], names=["_row_id", "vector", "cluster_id", "parent_id"])
+    def assign(part: pa.RecordBatch, children: np.ndarray | None, c: np.ndarray | None) -> pa.RecordBatch:
+        if children is None:
+            return part
+        own = children[nearest(matrix(part.column("vector"), dimension), c)]
+        return pa.record_batch([part.column("_row_id"), part.column("vector"), pa.array(own), part.column("cluster_id")], names=["_row_id", "vector", "cluster_id", "parent_id"])
 
-    return rows.join(_lists(found, "cluster_id", "child"), "cluster_id", "left").mapInArrow(assign, schema)
+    return _beside(rows, found, "cluster_id", dimension, assign, schema)
 
 
 def _second(rows: DataFrame, centroids: DataFrame, dimension: int) -> DataFrame:
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def second(part: pa.RecordBatch, children: np.ndarray | None, c: np.ndarray | None) -> pa.RecordBatch:
+        ok, other = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if children is not None:
+            to = spilled(matrix(part.column("vector"), dimension), c, np.searchsorted(children, part.column("cluster_id").to_numpy()))
+            ok = np.flatnonzero(to >= 0)
+            other = children[to[ok]]
+        take = pa.array(ok)
+        return pa.record_batch([part.column("_row_id").take(take), part.column("vector").take(take), pa.array(other)], names=["_row_id", "vector", "cluster_id"])
+
+    siblings = centroids.select("parent_id", F.col("cluster_id").alias("child"), "centroid")
+    return _beside(rows, siblings, "parent_id", dimension, second, "_row_id long, vector array<double>, cluster_id long")
+
+
+def _prepared(df: DataFrame, dimension: int, metric: str, rotated: bool, id_column: str, vector_column: str) -> DataFrame:
+    """_row_id, vector as it stands in the index, cluster_id 0 and parent_id -1."""
+    turn = rotation(dimension) if rotated else None
+
+    def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, own = matrix(batch.column("vector"), dimension), batch.column("cluster_id").to_numpy()
-            for at, children, c in _by_list(batch, dimension):
-                other = spilled(x[at], c, np.searchsorted(children, own[at]))
-                ok = np.flatnonzero(other >= 0)
-                if len(ok):
-                    take = pa.array(at[ok])
-                    yield pa.record_batch([batch.column("_row_id").take(take), batch.column("vector").take(take), pa.array(children[other[ok]])], names=["_row_id", "vector", "cluster_id"])
+            x = matrix(batch.column(1), dimension)
+            x = metrics.normalized(x) if metric == "cosine" else x
+            yield pa.record_batch([batch.column(0), _vectors(x if turn is None else x @ turn), pa.array(np.zeros(len(x), np.int64)), pa.array(np.full(len(x), -1))], names=["_row_id", "vector", "cluster_id", "parent_id"])
+
+    rows = df.select(F.col(id_column).cast("long").alias("_row_id"), F.col(vector_column).alias("vector")).where(F.col("vector").isNotNull())
+    return rows.mapInArrow(prepared, _STATE)
+
+
+def assigned(index: Ivf, df: DataFrame, id_column: str = "_row_id", vector_column: str = "vector") -> DataFrame:
+    """Postings of further rows in the clusters of an index: each goes to the nearest centroid.
+
+    Centroids are broadcast in blocks of BROADCAST_BYTES; a row keeps the best of the blocks before.
+    """
+    rows = _prepared(df, index.dimension, index.metric, index.rotated, id_column, vector_column).select("_row_id", "vector", F.lit(-1).cast("long").alias("cluster_id"), F.lit(math.inf).alias("at"))
+    dimension = index.dimension
+    blocks = max(1, math.ceil(index.centroids.count() * dimension * 8 / BROADCAST_BYTES))
+    for k in range(blocks):
+        got = index.centroids.where(F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)) == k).select("cluster_id", "centroid").orderBy("cluster_id").toArrow()
+        c = matrix(got.column("centroid").combine_chunks(), dimension) if got.num_rows else np.zeros((0, dimension))
+        shared = df.sparkSession.sparkContext.broadcast((got.column("cluster_id").to_numpy(), c))
+
+        def nearer(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, c = shared.value
+            for batch in batches:
+                own, at = batch.column(2).to_numpy().copy(), batch.column(3).to_numpy().copy()
+                if len(c) and batch.num_rows:
+                    x = matrix(batch.column(1), dimension)
+                    d = np.square(c).sum(1)[None] - 2 * x @ c.T
+                    best_at = d.argmin(1)
+                    d = d[np.arange(len(x)), best_at]
+                    ok = (d < at) | ((d == at) & (names[best_at] < own))
+                    own[ok], at[ok] = names[best_at][ok], d[ok]
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(own), pa.array(at)], names=["_row_id", "vector", "cluster_id", "at"])
+
+        rows = rows.mapInArrow(nearer, "_row_id long, vector array<double>, cluster_id long, at double")
+    return _quantized(cut(rows.where("cluster_id >= 0").select("_row_id", "vector", "cluster_id")), index.centroids, dimension, index.bits)
+
+
+def save(index: Ivf, path: str, part: str) -> None:
+    """Write an index to a folder, its postings as one part."""
+    index.centroids.repartitionByRange("cluster_id").sortWithinPartitions("cluster_id").write.mode("overwrite").parquet(f"{path}/centroids")
+    save_postings(index.postings, path, part)
+    meta = {k: getattr(index, k) for k in ("rows", "dimension", "metric", "bits", "rotated", "ratio")}
+    index.centroids.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def save_postings(postings: DataFrame, path: str, part: str) -> None:
+    postings.repartitionByRange("cluster_id", "_row_id").sortWithinPartitions("cluster_id", "_row_id").write.mode("overwrite").parquet(f"{path}/postings/{part}")
+
 
-    return rows.join(_lists(centroids, "parent_id", "cluster_id"), "parent_id").mapInArrow(second, "_row_id long, vector array<double>, cluster_id long")
+def load(spark: SparkSession, path: str, parts: Iterable[str] = ("0",)) -> Ivf:
+    """An index that save() wrote, with these parts of its postings; it needs nothing else than its folder."""
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    return Ivf(spark.read.parquet(f"{path}/centroids"), spark.read.parquet(*(f"{path}/postings/{p}" for p in parts)), **meta)
 
 
 def _quantized(members: DataFrame, centroids: DataFrame, dimension: int, bits: int) -> DataFrame:
@@ -228,6 +328,8 @@ def search(index: Ivf, query, k: int, ratio: float | None = None, n_probe: int |
     Probing goes on past the budget until k rows are found. n_probe sets the clusters, ratio the share of vectors. raw
     (_row_id, vector) are the vectors for exact scores, by default those of the postings.
     """
+    if oversample < 1:
+        raise ValueError("oversample must be at least 1")
     k, q = top_k(k), metrics.checked(query, index.dimension)
     q = metrics.normalized(q[None])[0] if index.metric == "cosine" else q
     original, q = q, q @ rotation(index.dimension) if index.rotated else q
@@ -258,6 +360,8 @@ def search_batch(index: Ivf, queries: DataFrame, k: int, oversample: float = 3.0
     Each query visits its best clusters up to the budget of search, and at least twice the candidates it wants, as a row
     may stand in two clusters. Each task scores the best of its own postings exactly.
     """
+    if oversample < 1:
+        raise ValueError("oversample must be at least 1")
     k, dimension, bits = top_k(k), index.dimension, index.bits
     unit = index.metric == "cosine"
     how = "dot_product" if unit else index.metric

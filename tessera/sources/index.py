@@ -1,9 +1,13 @@
 """A multi-field index as a folder of ordinary Parquet tables, and its search.
 
 rows: _row_id and the indexed columns in order of _row_id; postings: of text fields, in order of field and term;
-lengths: how many rows have a text field and how many tokens they hold, a line per write; vectors/<field>: centroids and
-postings of clustered fields, in cluster order; manifest: the declared fields as JSON. Row groups are in order, so the
-minima and maxima that Parquet keeps let a search skip all others.
+lengths: how many rows have a token of a text field and how many tokens they hold; vectors/<field>: centroids and postings of
+clustered fields, in cluster order; manifest: the declared fields as JSON. Row groups are in order, so the minima and maxima
+that Parquet keeps let a search skip all others.
+
+Each write is a part, a folder of its own in each of these, which counts only once its line in published is written, at the
+end; what a failed write left is no part of the index. Row ids have no gaps: a write has a row of nulls for each id between
+the last one before it and its own highest that it wasn't given. Ids up to the last are finished and can't be written again.
 """
 
 from __future__ import annotations
@@ -18,8 +22,9 @@ from tessera.config import Field, Kind, Scalar, top_k
 from tessera.functions import metrics
 from tessera.operators import fulltext, ivf, queryparser, vector
 from tessera.plans.lineage import cut
+from tessera.plans.spread import spread
 
-VERSION = 1
+VERSION = 2
 #: Filtered searches of up to so many candidates are exact.
 EXACT_CANDIDATES = 100_000
 
@@ -57,51 +62,66 @@ def _typed(df: DataFrame, f: Field) -> Column:
     return c.cast(want).alias(f.name)
 
 
-def with_gaps(df: DataFrame, id_column: str = "_row_id") -> DataFrame:
-    """df with a row of nulls for each id from 0 to the highest that it doesn't have."""
-    top = df.agg(F.coalesce(F.max(id_column), F.lit(-1))).first()[0]
-    return df.sparkSession.range(top + 1).select(F.col("id").alias(id_column)).join(df, id_column, "left").select(*df.columns)
+def with_gaps(df: DataFrame, id_column: str = "_row_id", first: int = 0) -> DataFrame:
+    """df with a row of nulls for each id from first to the highest that it doesn't have."""
+    top = df.agg(F.coalesce(F.max(id_column), F.lit(first - 1))).first()[0]
+    gaps = df.sparkSession.range(first, top + 1).select(F.col("id").alias(id_column)).join(df.select(id_column), id_column, "left_anti")
+    return df.unionByName(gaps, allowMissingColumns=True)
+
+
+def _write(df: DataFrame, path: str, *order: str) -> None:
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
-def _write(df: DataFrame, path: str, mode: str, *order: str) -> None:
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).parquet(path)
+def clustered(f: Field) -> bool:
+    return f.kind is Kind.VECTOR and (f.algorithm or "").upper() in ("IVF", "INT8_HNSW")
 
 
-def write_rows(df: DataFrame, fields: dict[str, Field], path: str, mode: str, id_column: str = "_row_id") -> DataFrame:
-    """Write rows, postings and lengths of df; the rows written."""
+def write_rows(df: DataFrame, fields: dict[str, Field], path: str, part: str, first: int = 0, id_column: str = "_row_id") -> tuple[DataFrame, int]:
+    """Write rows, postings and lengths of df as a part; the rows written and the last id."""
+    spark = df.sparkSession
     rows = df.select(F.col(id_column).cast("long").alias("_row_id"), *(_typed(df, f) for f in fields.values()))
-    bad = rows.groupBy("_row_id").count().where("count > 1 OR _row_id IS NULL OR _row_id < 0").first()
+    bad = rows.groupBy("_row_id").count().where(f"count > 1 OR _row_id IS NULL OR _row_id < {first}").first()
     if bad:
-        raise ValueError(f"row id {bad['_row_id']} is null, negative or not unique")
-    _write(rows, f"{path}/rows", mode, "_row_id")
-    spark = df.sparkSession
-    rows = spark.read.parquet(f"{path}/rows") if mode != "append" else rows
+        raise ValueError(f"row id {bad['_row_id']} is null, below {first} or not unique")
+    _write(with_gaps(rows, first=first), f"{path}/rows/{part}", "_row_id")
+    rows = spark.read.parquet(f"{path}/rows/{part}")
     texts = {f.name: f.analyzer for f in fields.values() if f.kind is Kind.FULLTEXT}
     if texts:
-        postings = cut(fulltext.PostingRows.build(rows, texts))
-        _write(postings, f"{path}/postings", mode, "field", "term", "_row_id")
-        source = fulltext.DocRows(rows, texts)
-        counts = source.rows.agg(*(x for f in texts for x in (F.count(f"`{f}`"), F.sum(F.size(f"`{f}`"))))).first()
-        lengths = [(f, counts[2 * k], counts[2 * k + 1] or 0) for k, f in enumerate(texts)]
-        spark.createDataFrame(lengths, "field string, n long, total long").coalesce(1).write.mode(mode).parquet(f"{path}/lengths")
-    return rows
+        postings = cut(fulltext.PostingRows.build(spread(rows), texts))
+        _write(postings, f"{path}/postings/{part}", "field", "term", "_row_id")
+        per_row = postings.groupBy("field", "_row_id").agg(F.max("dl").alias("dl"))
+        per_row.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).coalesce(1).write.mode("overwrite").parquet(f"{path}/lengths/{part}")
+    return rows, rows.agg(F.coalesce(F.max("_row_id"), F.lit(first - 1))).first()[0]
+
+
+def publish(spark: SparkSession, path: str, part: str, last: int) -> None:
+    """Make a part count."""
+    line = json.dumps({"part": part, "last": last})
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/published/{part}")
 
 
 def build(df: DataFrame, fields: dict[str, Field], path: str, id_column: str = "_row_id") -> Index:
     """Write a new index; an index at path is an error."""
-    rows = write_rows(df, fields, path, "error", id_column)
+    spark = df.sparkSession
+    home = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if home.getFileSystem(spark._jsc.hadoopConfiguration()).exists(home):
+        raise FileExistsError(f"an index exists at {path}")
+    rows, last = write_rows(df, fields, path, "0", 0, id_column)
     for f in fields.values():
-        if f.kind is Kind.VECTOR and (f.algorithm or "").upper() in ("IVF", "INT8_HNSW"):
+        if clustered(f):
             bits = 8 if f.algorithm.upper() == "INT8_HNSW" else f.integer("bits", 4)
             made = ivf.build(rows, f.dimension, f.metric, f.integer("vectors_per_cluster", ivf.VECTORS_PER_CLUSTER), bits, f.params.get("rotate") == "true", vector_column=f.name)
-            home = f"{path}/vectors/{f.name}"
-            _write(made.centroids, f"{home}/centroids", "error", "cluster_id")
-            _write(made.postings, f"{home}/postings", "error", "cluster_id", "_row_id")
-            meta = {"rows": made.rows, "dimension": made.dimension, "metric": made.metric, "bits": made.bits, "rotated": made.rotated, "ratio": made.ratio}
-            df.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{home}/meta")
+            ivf.save(made, f"{path}/vectors/{f.name}", "0")
     declared = [{"name": f.name, "kind": f.kind.name, "scalar": f.scalar and f.scalar.name, "dimension": f.dimension, "analyzer": f.analyzer, "algorithm": f.algorithm, "params": dict(f.params)} for f in fields.values()]
-    df.sparkSession.createDataFrame([(json.dumps({"version": VERSION, "fields": declared}),)], "value string").coalesce(1).write.text(f"{path}/manifest")
-    return Index(df.sparkSession, path)
+    spark.createDataFrame([(json.dumps({"version": VERSION, "fields": declared}),)], "value string").coalesce(1).write.text(f"{path}/manifest")
+    publish(spark, path, "0", last)
+    return Index(spark, path)
+
+
+def compact(index: Index, path: str) -> Index:
+    """A new index at path of all rows of another, as one part, its clusters found anew."""
+    return build(index.rows, index.fields, path)
 
 
 class Index:
@@ -113,7 +133,13 @@ class Index:
             raise ValueError(f"the index at {path} is of version {said['version']}, not {VERSION}")
         self.spark, self.path = spark, path
         self.fields = {x["name"]: Field(**x | {"kind": Kind[x["kind"]], "scalar": x["scalar"] and Scalar[x["scalar"]]}) for x in said["fields"]}
-        self.rows = spark.read.parquet(f"{path}/rows")
+        lines = [json.loads(r.value) for r in spark.read.text(f"{path}/published/*").collect()]  # a line per write
+        self.parts, self.last = sorted(x["part"] for x in lines), max(x["last"] for x in lines)
+        self.rows = self._read("rows")
+
+    def _read(self, table: str) -> DataFrame:
+        """A table of all parts that count."""
+        return self.spark.read.parquet(*(f"{self.path}/{table}/{p}" for p in self.parts))
 
     def _field(self, name: str, *kinds: Kind) -> Field:
         f = self.fields.get(name)
@@ -125,15 +151,15 @@ class Index:
         return self.rows.select("_row_id")
 
     def filter(self, predicate: Callable[[DataFrame], Column]) -> DataFrame:
-        """_row_id of the rows that a predicate of operators.filters accepts."""
-        return self.rows.where(predicate(self.rows)).select("_row_id")
+        """_row_id of the rows that a predicate of operators.filters accepts, in order."""
+        return self.rows.where(predicate(self.rows)).select("_row_id").orderBy("_row_id")
 
     # text
 
     def _text(self) -> fulltext.PostingRows:
         texts = {f.name: f.analyzer for f in self.fields.values() if f.kind is Kind.FULLTEXT}
-        totals = self.spark.read.parquet(f"{self.path}/lengths").groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()  # a row per field
-        return fulltext.PostingRows(self.spark.read.parquet(f"{self.path}/postings"), {r.field: (r.n, r.total) for r in totals}, self.rows, texts)
+        totals = self._read("lengths").groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()  # a row per field
+        return fulltext.PostingRows(self._read("postings"), {r.field: (r.n, r.total) for r in totals}, self.rows, texts)
 
     def full_text_search(self, query: fulltext.Spec | str, k: int, field: str | None = None) -> DataFrame:
         """_row_id and score of the k best rows of a spec, or of a query string over a field."""
@@ -151,9 +177,7 @@ class Index:
     # vectors
 
     def _ivf(self, f: Field) -> ivf.Ivf:
-        home = f"{self.path}/vectors/{f.name}"
-        meta = json.loads(self.spark.read.text(f"{home}/meta").first()[0])
-        return ivf.Ivf(self.spark.read.parquet(f"{home}/centroids"), self.spark.read.parquet(f"{home}/postings"), **meta)
+        return ivf.load(self.spark, f"{self.path}/vectors/{f.name}", self.parts)
 
     def vector_search(self, field: str, query, k: int, candidates: DataFrame | Iterable[int] | None = None, n_probe: int | None = None, ratio: float | None = None, oversample: float = 3.0) -> DataFrame:
         """_row_id and score of the k nearest rows; candidates restrict the search before it begins, none of them: no rows."""
