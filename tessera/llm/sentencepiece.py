@@ -9,11 +9,14 @@ are taken by id and joined per document.
 Defined results: a null text has null ids and a null decoded text; an empty one has no ids; the text may be of any
 length; ids are those of encoding each whole text at once. Decoding gives back the text, but that a literal U+2581 comes
 back as a space. Repeated rows are encoded each. encode() appends token_ids and n_tokens, encode_checked() also
-round_trip, and replaces columns of those names; all other columns pass through.
+round_trip, and replaces columns of those names; all other columns pass through. An empty table gives an empty result.
+
+The model's path is that of the driver; the file is sent to all workers.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +89,9 @@ class Codec:
         if not len(grown):
             return pa.ListArray.from_arrays(pa.array(np.zeros(len(row)), pa.int32()), pa.array([], pa.int32()))
         space, line = grown == 32, grown == 10
+        marks = np.flatnonzero((grown[:-2] == 0xE2) & (grown[1:-1] == 0x96) & (grown[2:] == 0x81))
+        for k in range(3):
+            space[marks + k] = True
         cut = space.copy()
         cut[1:] &= ~space[:-1]
         cut |= line
@@ -123,6 +130,16 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _sent(spark: SparkSession, model: str) -> str:
+    """The name under which workers find the model, which is sent to them once."""
+    sc = spark.sparkContext
+    there = sc.__dict__.setdefault("_tessera_files", set())
+    if model not in there:
+        sc.addFile(model)
+        there.add(model)
+    return os.path.basename(model)
+
+
 def _null_where(values: pa.Array, like: pa.Array) -> pa.Array:
     return values if not like.null_count else pc.if_else(pc.is_null(like), pa.scalar(None, values.type), values)
 
@@ -140,13 +157,14 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFram
     """docs with token_ids array<int> and n_tokens int, and with check round_trip boolean; no shuffle."""
     added = ["token_ids", "n_tokens", *(["round_trip"] if check else [])]
     docs = docs.drop(*added)
+    name = _sent(docs.sparkSession, model)
     at = docs.columns.index("text")
     kinds = [T.ArrayType(T.IntegerType()), T.IntegerType(), T.BooleanType()]
     schema = T.StructType([*docs.schema, *(T.StructField(n, k) for n, k in zip(added, kinds))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, ids, back in _coded(batch.column(at), model, check):
+            for a, b, ids, back in _coded(batch.column(at), SparkFiles.get(name), check):
                 part = batch.slice(a, b - a)
                 new = [ids, pc.list_value_length(ids), *([pc.equal(back, part.column(at))] if check else [])]
                 yield pa.record_batch([*part.columns, *new], names=[*batch.schema.names, *added])
@@ -162,6 +180,7 @@ def encode_checked(docs: DataFrame, model: str = MODEL) -> DataFrame:
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """encoded with decoded string, the text of its token_ids."""
     encoded = encoded.drop("decoded")
+    name = _sent(encoded.sparkSession, model)
     at = encoded.columns.index("token_ids")
     schema = T.StructType([*encoded.schema, T.StructField("decoded", T.StringType())])
 
@@ -169,7 +188,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             ids = batch.column(at)
             dense = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)))), pa.int32()), ids.flatten())
-            yield pa.record_batch([*batch.columns, _null_where(codec(model).decode(dense), ids)], names=[*batch.schema.names, "decoded"])
+            yield pa.record_batch([*batch.columns, _null_where(codec(SparkFiles.get(name)).decode(dense), ids)], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 

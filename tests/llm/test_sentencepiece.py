@@ -41,6 +41,18 @@ def test_round_trip_and_decoding(spark):
     assert S.encode_checked(docs).columns == ["doc_id", "text", "decoded", "token_ids", "n_tokens", "round_trip"]
 
 
+def test_a_literal_mark_is_a_space(spark, model):
+    import itertools
+
+    import pyarrow as pa
+
+    texts = ["".join(x) for n in range(1, 6) for x in itertools.product(("a", "▁", " ", "\n"), repeat=n)] + ["the▁ quick ▁▁brown▁", "▁", "▁ ▁x", "é▁▁ ▁中"]
+    got = S.codec(S.MODEL).encode(pa.array(texts)).to_pylist()
+    assert got == [model.encode(t) for t in texts]
+    back = S.codec(S.MODEL).decode(pa.array(got, pa.list_(pa.int32()))).to_pylist()
+    assert all(b == t.replace("▁", " ") for t, b in zip(texts, back))
+
+
 def test_small_slices_change_nothing(spark, monkeypatch, model):
     import pyarrow as pa
 
