@@ -5,8 +5,8 @@ substituted. The masks of each length of item are chosen so that every pattern o
 in WINDOW words, or in all words of a shorter item, leaves at least one seed whole (tested by enumeration). The hashes of the benchmark's masked windows are joined with those of the documents; around each hit the
 item is laid over the document and the words are compared one by one, substitutions allowed.
 
-Defined results: a null or empty text has no words and matches nothing; an item of fewer than MIN_WORDS words is too
-short to be evidence and matches nothing; repeated item rows count once; a null doc_id or item_id is carried as it is; every repeated document row is reported. Of several places of
+Defined results: a null or empty text has no words and matches nothing; an item of fewer than EXACT words is found where
+all its words stand in a row, as with so few a substitution would match what has nothing to do with it; repeated item rows count once; a null doc_id or item_id is carried as it is; every repeated document row is reported. Of several places of
 one item in one document the one with most equal words is reported, the first of those that tie. Only the columns named
 here are read, so others may clash as they like; an empty table gives an empty result.
 """
@@ -23,9 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as X
-from tessera.plans.lineage import cut
 
-MIN_WORDS = 8
+EXACT = 8
 #: A hit holds if in some WINDOW words of the item around it (all of a shorter item) so large a share is equal.
 WINDOW = 13
 MIN_EQUAL = 0.8
@@ -34,8 +33,8 @@ MASKS = {
     13: ("1101110111", "11010011111", "11111010011", "111101111", "110011110101"),
     10: ("1111011", "10101111", "110110011", "11001111", "111010101"),
     8: ("1101111", "11110101", "10111011"),
-}
-#: Characters of benchmark text that are broadcast at once; a larger benchmark is joined slice by slice.
+} | {n: ("1" * n,) for n in range(1, EXACT)}
+#: Characters of benchmark text that are broadcast at once; a larger benchmark is looked for slice by slice.
 BROADCAST_CHARS = 24_000_000
 
 SCHEMA = "doc_id long, item_id long, item_words int, start_word int, equal_words int, similarity double"
@@ -141,7 +140,7 @@ def matches(text: pa.Array, s: Seeds) -> Iterator[tuple[np.ndarray, ...]]:
         share = np.where(fits, (total[np.minimum(t + width, to[-1])] - total[t]) / width, 0.0)
         best = np.maximum.reduceat(share, to[:-1])
         equal = total[to[1:]] - total[to[:-1]]
-        ok = best >= MIN_EQUAL
+        ok = best >= np.where(m < EXACT, 1.0, MIN_EQUAL)
         row, item, place, equal, best = row[ok], item[ok], place[ok], equal[ok], best[ok]
         order = np.lexsort((place, -equal, item, row))
         row, item, place, equal, best = (x[order] for x in (row, item, place, equal, best))
@@ -179,22 +178,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     )
 
         part = docs.mapInArrow(scan, SCHEMA)
-        out = part if out is None else cut(out).unionByName(part)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap with no item, all their columns kept; no shuffle."""
-    at = docs.columns.index("text")
-    for k, s in enumerate(_sliced(benchmark)):
+    """The documents that overlap with no item, all their columns kept; no shuffle, unless the benchmark has several slices:
+    then those found in each are left out by a hash of doc_id and text."""
+    found = []
+    for s in _sliced(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(s)
 
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def overlaps(text: pa.Array, shared=shared) -> np.ndarray:
+            out = np.zeros(len(text), bool)
+            for rows, *_ in matches(text, shared.value):
+                out[rows] = True
+            return out
+
+        found.append(overlaps)
+    if len(found) == 1:
+        at = docs.columns.index("text")
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(~found[0](batch.column(at))))
+
+        return docs.mapInArrow(keep, docs.schema)
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
+    gone = None
+    for overlaps in found:
+
+        def keys(batches: Iterator[pa.RecordBatch], overlaps=overlaps) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ok = np.ones(batch.num_rows, bool)
-                for found in matches(batch.column(at), shared.value):
-                    ok[found[0]] = False
-                yield batch if ok.all() else batch.filter(pa.array(ok))
+                yield pa.record_batch([batch.column(0).filter(pa.array(overlaps(batch.column(1))))], names=["_tessera_key"])
 
-        docs = (cut(docs) if k else docs).mapInArrow(keep, docs.schema)
-    return docs
+        part = docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(keys, "_tessera_key long")
+        gone = part if gone is None else gone.unionByName(part)
+    return docs.withColumn("_tessera_key", key).join(gone.distinct(), "_tessera_key", "left_anti").select(*docs.columns)

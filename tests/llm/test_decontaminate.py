@@ -26,12 +26,12 @@ def brute(docs, items):
         w = X.hash_words(t or "").tolist()
         for i, s in items:
             x = X.hash_words(s or "").tolist()
-            if len(x) < D.MIN_WORDS:
+            if not x:
                 continue
             width = min(len(x), D.WINDOW)
             for p in range(-len(x) + 1, len(w)):
                 same = [0 <= p + j < len(w) and w[p + j] == x[j] for j in range(len(x))]
-                if any(sum(same[j : j + width]) / width >= D.MIN_EQUAL for j in range(len(x) - width + 1)):
+                if any(sum(same[j : j + width]) / width >= (D.MIN_EQUAL if len(x) >= D.EXACT else 1) for j in range(len(x) - width + 1)):
                     out.add((d, i))
                     break
     return out
@@ -39,7 +39,7 @@ def brute(docs, items):
 
 def test_substituted_passages_are_found(spark):
     rng = np.random.default_rng(0)
-    items = [(k, " ".join(_words(rng, int(n), "b"))) for k, n in enumerate(rng.integers(8, 60, 30))]
+    items = [(k, " ".join(_words(rng, int(n), "b"))) for k, n in enumerate(rng.integers(3, 60, 30))]
     docs = []
     for k in range(120):
         own = _words(rng, int(rng.integers(5, 150)))
@@ -69,12 +69,12 @@ def test_nulls_empty_long_short_and_repeated_rows(spark):
     rng = np.random.default_rng(2)
     p = " ".join(_words(rng, 20, "b"))
     long = " ".join(_words(rng, 50_000)) + " " + p
-    items = [(1, p), (1, p), (2, None), (3, ""), (None, " ".join(_words(rng, 15, "c"))), (4, "too short to count")]
-    docs = [(1, p), (1, p), (2, None), (3, ""), (None, p), (4, long), (5, "too short to count"), (6, " ".join(_words(rng, 200))), (7, items[4][1])]
+    items = [(1, p), (1, p), (2, None), (3, ""), (None, " ".join(_words(rng, 15, "c"))), (4, "short, but exact")]
+    docs = [(1, p), (1, p), (2, None), (3, ""), (None, p), (4, long), (5, "this is short but exact too"), (8, "short or exact"), (6, " ".join(_words(rng, 200))), (7, items[4][1])]
     got = sorted(((r.doc_id, r.item_id) for r in D.contaminated(*_frames(spark, docs, items)).collect()), key=str)
-    assert got == sorted([(1, 1), (1, 1), (None, 1), (4, 1), (7, None)], key=str)
+    assert got == sorted([(1, 1), (1, 1), (None, 1), (4, 1), (5, 4), (7, None)], key=str)
     kept = D.clean(*_frames(spark, docs, items))
-    assert {r.doc_id for r in kept.collect()} == {2, 3, 5, 6} and kept.columns == ["doc_id", "text", "item_id", "similarity"]
+    assert {r.doc_id for r in kept.collect()} == {2, 3, 6, 8} and kept.columns == ["doc_id", "text", "item_id", "similarity"]
 
 
 def test_empty_tables(spark):
@@ -90,10 +90,27 @@ def test_a_large_benchmark_goes_slice_by_slice(spark, monkeypatch):
     monkeypatch.setattr(D, "BROADCAST_CHARS", 1500)
     assert {(r.doc_id, r.item_id) for r in D.contaminated(*_frames(spark, docs, items)).collect()} == {(k, k) for k in range(40)}
     assert D.clean(*_frames(spark, docs, items)).count() == 0
+    more = [*docs, (50, "clean text"), (50, "clean text"), (51, None), (None, "clean too"), (None, items[3][1])]
+    kept = D.clean(*_frames(spark, more, items)).collect()
+    assert sorted(map(str, [(r.doc_id, r.text) for r in kept])) == sorted(map(str, [(50, "clean text"), (50, "clean text"), (51, None), (None, "clean too")]))
+
+
+def test_items_of_few_words_are_found_where_all_of_them_stand(spark):
+    items = [(n, " ".join(f"s{n}x{k}" for k in range(n))) for n in range(1, 8)]
+    docs = [(n, f"lead in {t}, and the rest") for n, t in items] + [(10 + n, f"lead {t.replace('x0', 'y0')} end") for n, t in items]
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(*_frames(spark, docs, items)).collect()} == {(n, n) for n in range(1, 8)}
+
+
+def test_of_places_that_tie_the_first_is_reported():
+    s = D.seeds(pa.table({"item_id": [7], "text": [" ".join(f"b{k}" for k in range(12))]}))
+    words = [f"b{k}" for k in range(12)]
+    text = " ".join(["x", *words, "y", *words, "z"])
+    (row, item, start, equal, share), = D.matches(pa.array([text]), s)
+    assert (row.tolist(), start.tolist(), equal.tolist()) == ([0], [1], [12])
 
 
 def test_every_pattern_of_substitutions_that_is_a_hit_is_found():
-    for n in range(D.MIN_WORDS, D.WINDOW + 4):
+    for n in range(D.EXACT, D.WINDOW + 4):
         item = [f"b{k}" for k in range(n)]
         width = min(n, D.WINDOW)
         docs = []
