@@ -108,10 +108,13 @@ def _hashed(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def beginnings(w: Words, n: int) -> np.ndarray:
-    """Hashes of each word's first n bytes, at most 8."""
+    """Hashes of each word's first n bytes, at most 8, less those of a letter that goes on beyond them."""
     padded = np.concatenate((w.data, np.zeros(8, np.uint8)))
     eight = np.ndarray(len(w.data) + 1, "<u8", padded, strides=(1,))
-    return mix((eight[w.begin] & _LOW[np.minimum(w.end - w.begin, n)]) * _ODD[1] + np.uint64(n))
+    size = np.minimum(w.end - w.begin, n)
+    for _ in range(3):
+        size -= (size > 0) & ((padded[w.begin + size] & 0xC0) == 0x80)
+    return mix((eight[w.begin] & _LOW[size]) * _ODD[1] + np.uint64(n))
 
 
 @cache

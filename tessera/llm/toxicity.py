@@ -1,17 +1,18 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other; each linear model sees the log-odds that the models before it gave. While
-fitting, those are out-of-fold predictions, so that a later model learns how far earlier ones are to be trusted. Features
-are hashed words and word beginnings, of which the FEATURES most telling ones (by the G statistic of presence) are kept.
-
-With labels of one kind, `toxic`, the chain is: insult (toxic, and a word of INSULTS), severe (toxic, and at least
-SEVERE marked words), toxic. Marked words are those whose presence at least quadruples the odds. A document is toxic if
-its last probability reaches the threshold that gave the best F1 out of fold.
-
-Defined results: a null or empty text has no features and is never toxic; texts of any length are read whole; labels that
-are null or of no document are left out; of several labels of one doc_id the lowest counts; without both kinds of label
-nothing is fitted and nothing is toxic; a null doc_id is scored and reported as it is; repeated rows are each reported;
-only doc_id and text are read; an empty table gives an empty result.
+The categories are the label columns: every column of labels that holds 0 and 1 alone, in their order, with toxic at the
+end. They are predicted one after the other; each linear model sees the log-odds that the models before it gave. While
+fitting, those are out-of-fold predictions, so that a later model learns how far earlier ones are to be trusted. Features are
+hashed words and word beginnings, of which the FEATURES most telling ones (by the G statistic of presence) of each category
+are kept. A document is toxic if its last probability reaches the threshold that gave the best F1 out of fold.
+
+Result: doc_id, and p_<category> of each, of the toxic documents.
+
+Defined results: a null or empty text has no features and is never toxic; texts of any length are read whole; labels that are
+null in toxic, or of no document, are left out, a null of another category is 0; of several labels of one doc_id the lowest counts; a category of which there is
+one kind of label has probability 0 or 1 throughout; without both kinds of toxic nothing is fitted and nothing is toxic; of
+features that tell alike those of lower hash are taken, of equal thresholds the highest; a null doc_id is scored and reported
+as it is; repeated rows are each reported; only doc_id and text of documents are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,18 +28,17 @@ from pyspark.sql import functions as F
 from tessera.llm import text as X
 from tessera.llm.quality_classifier import sample
 
-CATEGORIES = ("insult", "severe", "toxic")
-INSULTS = ("idiot", "moron", "loser", "clown", "scum")
-SEVERE = 3
-BITS, FEATURES, FOLDS = 20, 3000, 5
+#: The category that is reported.
+LAST = "toxic"
+BITS, FEATURES, FOLDS = 22, 8192, 5
 #: Labelled documents that the chain is fitted on: those of lowest hash.
 SAMPLE = 12_000
-PREFIXES = (4, 5, 6, 7, 8)
+PREFIXES = (4, 5, 6, 7, 8)  # bytes
 L2, STEPS = 1e-4, 300
 
 
 def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hashed feature) of every word and word beginning of these many bytes."""
+    """(row, hashed feature) of every word and word beginning of about these many bytes, which end with a letter."""
     w = X.words(text)
     row = np.repeat(np.arange(len(text)), np.diff(w.off))
     rows, out = [row], [w.hash]
@@ -125,53 +125,65 @@ def _counted(text: pa.Array, index: np.ndarray, width: int) -> Sparse:
     return Sparse(np.concatenate(rows), np.concatenate(columns), np.concatenate(values), len(text), width, np.ones((len(text), 1)))
 
 
-def fit(text: pa.Array, toxic: np.ndarray) -> dict:
-    """The chain, its features and its threshold."""
-    there = [np.zeros(1 << BITS) for _ in range(2)]
+def telling(there: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """The FEATURES most telling of the features that occur in so many documents of either label, of n documents each."""
+    seen = np.flatnonzero(there[0] + there[1] >= 2)
+    a, b = there[1][seen], there[0][seen]
+    expected = (a + b) * n[1] / n.sum()
+    g = a * np.log(np.maximum(a, 0.5) / expected) + b * np.log(np.maximum(b, 0.5) / (a + b - expected))
+    return seen[np.argsort(-g, kind="stable")[:FEATURES]]
+
+
+def best_threshold(odds: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """The log-odds from which on documents are toxic, and the F1 that it gives: the best there is."""
+    order = np.argsort(-odds, kind="stable")
+    right = np.cumsum(toxic[order])
+    f1 = 2 * right / (np.arange(1, len(order) + 1) + toxic.sum())
+    f1[:-1][odds[order][1:] == odds[order][:-1]] = -1  # equal ones can't be parted
+    best = int(np.argmax(f1))
+    after = odds[order[best + 1]] if best + 1 < len(order) else odds[order[best]] - 2
+    return float((odds[order[best]] + after) / 2), float(f1[best])
+
+
+def fit(text: pa.Array, y: np.ndarray) -> dict:
+    """The chain, its features and its threshold, from labels of 0 and 1, a column for each category."""
+    there = np.zeros((y.shape[1], 2, 1 << BITS), np.int32)
     for a, b in X.slices(text):
         row, feature = features(text.slice(a, b - a))
         pair = np.unique(row * np.int64(1 << BITS) + feature)
         row, feature = pair >> BITS, pair & ((1 << BITS) - 1)
-        for label in (0, 1):
-            there[label] += np.bincount(feature[toxic[a:b][row] == label], minlength=1 << BITS)
-    n = np.array([(toxic == k).sum() for k in (0, 1)], float)
-    seen = np.flatnonzero(there[0] + there[1] >= 3)
-    a, b = there[1][seen], there[0][seen]
-    expected = (a + b) * n[1] / n.sum()
-    g = a * np.log(np.maximum(a, 0.5) / expected) + b * np.log(np.maximum(b, 0.5) / (a + b - expected))
-    chosen = seen[np.argsort(-g, kind="stable")[:FEATURES]]
+        for k in range(y.shape[1]):
+            for label in (0, 1):
+                there[k, label] += np.bincount(feature[y[a:b, k][row] == label], minlength=1 << BITS)
+    chosen = np.unique(np.concatenate([telling(list(t.astype(float)), np.array([(c == 0).sum(), (c == 1).sum()], float)) for t, c in zip(there, y.T) if 0 < c.sum() < len(c)]))
     index = np.full(1 << BITS, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
-    odds = ((there[1][chosen] + 0.5) / (n[1] + 1)) / ((there[0][chosen] + 0.5) / (n[0] + 1))
     x = _counted(text, index, len(chosen))
-    insult = np.zeros(len(chosen), bool)
-    at = index[(X.hash_words(" ".join(INSULTS)) >> np.uint64(64 - BITS)).astype(np.int64)]
-    insult[at[at >= 0]] = True
-    insults = np.bincount(x.row[insult[x.column]], minlength=x.n) > 0
-    telling = odds[x.column] >= 4
-    marked = np.bincount(x.row[telling], np.expm1(x.value[telling]), x.n)
-    y = np.column_stack((toxic & insults, toxic & (marked >= SEVERE), toxic)).astype(float)
-    models, out = fit_chain(x, y)
-    order = np.argsort(-out[:, -1], kind="stable")
-    right = np.cumsum(toxic[order])
-    f1 = 2 * right / (np.arange(1, len(order) + 1) + n[1])
-    best = int(np.argmax(f1))
-    nextone = out[order[min(best + 1, len(order) - 1)], -1]
-    return {"index": index, "width": len(chosen), "models": models, "threshold": float((out[order[best], -1] + nextone) / 2), "f1": float(f1[best])}
+    models, out = fit_chain(x, y.astype(float))
+    threshold, f1 = best_threshold(out[:, -1], y[:, -1])
+    return {"index": index, "width": len(chosen), "models": models, "threshold": threshold, "f1": f1}
+
+
+def categories(labels: DataFrame) -> list[str]:
+    """The label columns in the order of the chain: those that hold 0 and 1 alone."""
+    numbers = [c for c, kind in labels.dtypes if c not in ("doc_id", "text", LAST) and kind in ("tinyint", "smallint", "int", "bigint", "boolean")]
+    ok = labels.agg(F.lit(1).alias("one"), *(F.bool_and(F.col(c).cast("int").isin(0, 1)).alias(c) for c in numbers)).first()
+    return [*(c for c in numbers if ok[c]), LAST]
 
 
 def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id and the categories' probabilities of the toxic documents; the documents aren't shuffled."""
-    got = sample(docs, labels, ["toxic"], SAMPLE).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES)
+    """The result that the module describes; the documents aren't shuffled."""
+    names = categories(labels)
+    got = sample(docs, labels.select("doc_id", *(F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in names[:-1]), LAST), names, SAMPLE).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    schema = "doc_id long, " + ", ".join(f"`p_{c}` double" for c in names)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    toxic = got.column("toxic").to_numpy() > 0
+    y = np.column_stack([got.column(c).to_numpy() > 0 for c in names]) if got.num_rows else np.zeros((0, len(names)), bool)
     text = got.column("text").combine_chunks()
     if isinstance(text, pa.ChunkedArray):
         text = pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string())
-    if toxic.all() or not toxic.any():
-        return slim.where("false").selectExpr("doc_id", *(f"CAST(NULL AS double) AS p_{c}" for c in CATEGORIES))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(text, toxic))
+    if y[:, -1].all() or not y[:, -1].any():
+        return slim.where("false").select("doc_id", *(F.lit(None).cast("double").alias(f"p_{c}") for c in names))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(text, y))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
@@ -180,6 +192,6 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
             out = predict_chain(x, chain["models"])
             ok = (out[:, -1] >= chain["threshold"]) & (np.bincount(x.row, minlength=x.n) > 0)
             p = 1 / (1 + np.exp(-np.clip(out[ok], -30, 30)))
-            yield pa.record_batch([batch.column(0).filter(pa.array(ok)), *(pa.array(np.round(c, 6)) for c in p.T)], names=["doc_id", *(f"p_{c}" for c in CATEGORIES)])
+            yield pa.record_batch([batch.column(0).filter(pa.array(ok)), *(pa.array(np.round(c, 6)) for c in p.T)], names=["doc_id", *(f"p_{c}" for c in names)])
 
     return slim.mapInArrow(run, schema)

@@ -96,6 +96,48 @@ def test_the_chain_uses_earlier_categories():
     assert ((T.predict_chain(x, models) > 0) == y).mean() > 0.97
 
 
+def test_telling_features_and_threshold_are_those_of_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join([*(f"w{k}" for k in rng.integers(0, 40, 12)), *(["vile"] if k % 4 == 0 and rng.random() < 0.9 else []), *(["été"] if k % 3 else [])]) for k in range(300)]
+    y = np.array([[k % 2, k % 4 == 0] for k in range(300)], bool)
+    sets = []
+    for t in texts:
+        row, feature = T.features(pa.array([t]))
+        sets.append(set(feature.tolist()))
+    monkeypatch.setattr(T, "FEATURES", 10)
+    want = set()
+    for label in y.T:
+        g = {}
+        for f in set().union(*sets):
+            a, b = sum(f in s for s, x in zip(sets, label) if x), sum(f in s for s, x in zip(sets, label) if not x)
+            if a + b >= 2:
+                e = (a + b) * label.mean()
+                g[f] = a * np.log(max(a, 0.5) / e) + b * np.log(max(b, 0.5) / (a + b - e))
+        want |= set(sorted(g, key=lambda f: (-round(g[f], 9), f))[:10])
+    got = T.fit(pa.array(texts), y)
+    assert set(np.flatnonzero(got["index"] >= 0).tolist()) == want
+    odds = np.round(rng.normal(size=300), 1) + y[:, 1]
+    threshold, f1 = T.best_threshold(odds, y[:, 1])
+    f = lambda x: 2 * ((odds >= x) & y[:, 1]).sum() / ((odds >= x).sum() + y[:, 1].sum())
+    assert abs(f(threshold) - f1) < 1e-12 and f1 >= max(f(x) for x in odds) - 1e-12
+
+
+def test_the_categories_are_the_label_columns(spark):
+    labels = spark.createDataFrame([(1, 1, 0, 0, "note")], "doc_id long, toxic int, threat int, insult int, by string")
+    assert T.categories(labels) == ["threat", "insult", "toxic"]
+    rows = [(k, " ".join(["plain words", *(["fool"] if k % 4 == 1 else []), *(["die now"] if k % 4 == 2 else []), f"n{k}"]), "q", "t", 1) for k in range(240)]
+    given = spark.createDataFrame([(k, int(k % 4 in (1, 2)), int(k % 4 == 2), int(k % 4 == 1)) for k in range(200)], "doc_id long, toxic int, threat int, insult int")
+    got = T.flagged(spark.createDataFrame(rows, DOCS), given).collect()
+    assert {r.doc_id for r in got} == {k for k in range(240) if k % 4 in (1, 2)}
+    assert all((r.p_threat > 0.5) == (r.doc_id % 4 == 2) and (r.p_insult > 0.5) == (r.doc_id % 4 == 1) for r in got)
+
+
+def test_beginnings_end_with_a_letter():
+    w = X.words(pa.array(["abcé éééé a"]))
+    same = X.words(pa.array(["abc ééa ab"]))
+    assert X.beginnings(w, 4)[0] == X.beginnings(same, 4)[0] and X.beginnings(w, 5)[1] == X.beginnings(X.words(pa.array(["éé"])), 5)[0]
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0, 5)], [(99, 1, 1, 5)]])
 def test_without_both_kinds_of_label(spark, labels):
     docs = spark.createDataFrame([(1, "a b c", "q", "t", 1), (2, None, "q", "t", 1), (3, "", "q", "t", 1)], DOCS)
