@@ -1,21 +1,24 @@
 """Licence scan by a trained paragraph classifier.
 
-A paragraph is a line. The presence of sparse n-grams of one to three words, those that occur in TEMPLATES, goes into a multinomial
-logistic regression over the licence families and `none`, which is fitted on varied templates and, for `none`, on a
-sample of the corpus's own lines and on prose that speaks of licences. A temperature fitted on held-out lines calibrates
-the probabilities. A line that more likely than not is a licence is compared with the templates: the family holds if its
-own templates are covered best and to at least COVER by the line's pairs of words; otherwise the family is `unknown`.
-Since the other words of a line weigh against a notice within it, the passages of each line that cover a template to at
-least COVER, within REACH times its length, are judged as lines of their own. Of passages that overlap the one that
-covers its template best holds. A line has a row for itself, if it is judged a licence as a whole, and one for each
-further family of its passages; it isn't `unknown` where a passage has a family.
-
-Result: doc_id, line (from 0), family, probability (of the family, for `unknown` of any licence), similarity (to the
-best template of the family, for `unknown` of any).
-
-Defined results: a null or empty text has no lines; blank lines count for the numbering only; texts of any length are
-read whole; a null doc_id is carried as it is; repeated rows are each reported; of families that are covered alike the
-one predicted holds. Only doc_id and text are read, so other columns may clash; an empty table gives an empty result.
+A paragraph is a run of lines that have words. The presence of sparse n-grams of one to three words, those that occur in
+TEMPLATES, goes into a multinomial logistic regression over the licence families and `none`, which is fitted on varied
+templates and, for `none`, on the lines and paragraphs of a sample of the corpus and on prose that speaks of licences. A
+temperature fitted on held-out ones calibrates the probabilities. Paragraphs, and the lines of them, that more likely than not
+are a licence are compared with the templates: the family holds if its own templates are covered best and to at least COVER by
+the pairs of words; otherwise the family is `unknown`. Since the other words of a paragraph weigh against a notice within it,
+the passages that cover a template to at least COVER, within REACH times its length, are judged as paragraphs of their own,
+however the notice is broken into lines. Of passages that overlap the one that covers its template best holds.
+
+A paragraph has a row for each of its lines that is a licence as a whole, one for each family of a passage that no such line
+has, and one for itself if it is judged a licence and none of these is there. It isn't `unknown` where it has a family.
+
+Result: doc_id, first_line, last_line (from 0), family, probability (of the family, for `unknown` of any licence), similarity
+(to the best template of the family, for `unknown` of any).
+
+Defined results: a null or empty text has no lines; lines without words part paragraphs and count for the numbering; texts of
+any length are read whole; a null doc_id is carried as it is; repeated rows are each reported; of families that are covered
+alike the one predicted holds, of passages that cover their templates alike the first; of texts of equal hash all are in the
+sample or none. Only doc_id and text are read, so other columns may clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -133,7 +136,7 @@ COVER = 0.6
 #: Words within which a template's pairs are sought, as a multiple of its own.
 REACH = 1.5
 #: Variants of each family to fit on, and documents (those of lowest hash) whose lines stand for ordinary text.
-VARIANTS, SAMPLE = 120, 400
+VARIANTS, SAMPLE = 120, 4000
 STEPS, L2 = 300, 1e-3
 
 _LEFT = ("", "", "this file is", "the code of this project is", "note", "copyright 2019 the authors", "documentation", "unless stated otherwise this text is", "footer")
@@ -161,6 +164,11 @@ def lines(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return w.hash, np.append(begins, len(w.hash)), row[begins], passed[begins] - before
 
 
+def paragraphs(off: np.ndarray, row: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Where each paragraph begins among the lines, and the number of lines."""
+    return np.append(np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (number[1:] != number[:-1] + 1)))[: len(row)]), len(row))
+
+
 def _grams(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(line, hash) of each n-gram of one to GRAMS words within a line."""
     owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -238,7 +246,7 @@ _PAIRS = _pairs()
 
 
 def fit(ordinary: pa.Array, seed: int = 9) -> Scanner:
-    """The classifier; ordinary: texts of the corpus whose lines are no licence, save those that cover a template."""
+    """The classifier; ordinary: texts of the corpus whose lines and paragraphs are no licence, save those that cover a template."""
     rng = np.random.default_rng(seed)
     texts, y = variants(rng, VARIANTS)
     held_texts, held_y = variants(rng, VARIANTS // 4)
@@ -247,24 +255,38 @@ def fit(ordinary: pa.Array, seed: int = 9) -> Scanner:
     grams = np.unique(_grams(h, off)[1])
     table = _table(grams)
 
-    def matrix(text: pa.Array) -> tuple[np.ndarray, ...]:
-        h, off, row, _ = lines(text)
+    def matrix(h: np.ndarray, off: np.ndarray) -> np.ndarray:
         at, k = _known(h, off, grams, table)
         x = np.zeros((len(off) - 1, len(grams)), np.float32)
         x[at, k] = 1
-        return x / np.sqrt(np.maximum(np.diff(off), 1)).astype(np.float32)[:, None], row, h, off
+        return x / np.sqrt(np.maximum(np.diff(off), 1)).astype(np.float32)[:, None]
 
-    x, row, *_ = matrix(pa.array(texts))
+    h, off, row, _ = lines(pa.array(texts))
+    x = matrix(h, off)
     y = np.array(y)[row]
-    hx, row, *_ = matrix(pa.array(held_texts))
-    hy = np.array(held_y)[row]
-    if len(ordinary):
-        ox, _, h, off = matrix(ordinary)
-        ox = ox[[coverage(h[a:b]).max() < COVER for a, b in zip(off, off[1:])]]
-        pick = rng.random(len(ox)) < 0.8
-        x, y = np.concatenate((x, ox[pick])), np.concatenate((y, np.full(pick.sum(), NONE)))
-        hx, hy = np.concatenate((hx, ox[~pick])), np.concatenate((hy, np.full((~pick).sum(), NONE)))
-    share = np.where(y == NONE, 0.5 / max(1, (y == NONE).sum()), 0.5 / (y != NONE).sum())
+    weight = np.ones(len(y))
+    h, off, row, _ = lines(pa.array(held_texts))
+    hx, hy = matrix(h, off), np.array(held_y)[row]
+    hw = np.ones(len(hy))
+    for a, b in X.slices(ordinary):
+        h, off, row, number = lines(ordinary.slice(a, b - a))
+        for o in (off, off[paragraphs(off, row, number)]):
+            if len(o) < 2:
+                continue
+            known = np.zeros(len(o) - 1, bool)
+            known[_known(h, o, grams, table)[0]] = True
+            own = [h[x:y] for x, y, k in zip(o, o[1:], known) if k]
+            own = [w for w in own if coverage(w).max() < COVER]
+            size = np.concatenate(([0], np.cumsum([len(w) for w in own]))).astype(np.int64)
+            # those without a known n-gram are all alike: one row stands for them
+            ox = np.concatenate((matrix(np.concatenate(own), size) if own else x[:0], np.zeros((1, len(grams)), np.float32)))
+            many = np.append(np.ones(len(own)), (~known).sum())
+            pick = rng.random(len(ox)) < 0.8
+            pick[-1] = True
+            x, y, weight = np.concatenate((x, ox[pick])), np.concatenate((y, np.full(pick.sum(), NONE))), np.concatenate((weight, many[pick]))
+            hx, hy, hw = np.concatenate((hx, ox[~pick])), np.concatenate((hy, np.full((~pick).sum(), NONE))), np.concatenate((hw, many[~pick]))
+    none = y == NONE
+    share = weight * np.where(none, 0.5 / max(1, weight[none].sum()), 0.5 / weight[~none].sum())
     target = np.eye(NONE + 1, dtype=np.float32)[y]
     w, b = np.zeros((len(grams), NONE + 1), np.float32), np.zeros(NONE + 1, np.float32)
     prev_w, prev_b, scale = w, b, np.float32(2 / (share @ np.square(x).sum(1) + 1))
@@ -275,7 +297,7 @@ def fit(ordinary: pa.Array, seed: int = 9) -> Scanner:
         w, b = (look_w - scale * (x.T @ e + L2 * look_w)).astype(np.float32), (look_b - scale * e.sum(0)).astype(np.float32)
     z = hx @ w + b
     grid = np.exp(np.linspace(-2.5, 2, 91))
-    loss = [-np.log(np.maximum(_softmax(z / g)[np.arange(len(hy)), hy], 1e-9)).mean() for g in grid]
+    loss = [-(hw * np.log(np.maximum(_softmax(z / g)[np.arange(len(hy)), hy], 1e-9))).sum() for g in grid]
     return Scanner(grams, table, w.astype(np.float64), b.astype(np.float64), float(grid[int(np.argmin(loss))]))
 
 
@@ -298,8 +320,8 @@ _PAIR, _PAIR_OF, _PAIRS_IN, _PAIR_TABLE = _pair_table()
 
 
 def passages(hashes: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(line, begin, end) of the places in lines that cover a template to at least COVER, those that cover it best first
-    within a line, none overlapping another."""
+    """(paragraph, begin, end) of the places that cover a template to at least COVER, those that cover it best first within a
+    paragraph, none overlapping another."""
     h = X.mix(X.mix(hashes[:-1] + np.uint64(1)) * np.uint64(0xD1342543DE82EF95) + hashes[1:] + np.uint64(2)) if len(hashes) else hashes
     at = np.flatnonzero(_PAIR_TABLE[(h >> np.uint64(44)).astype(np.int64)])
     line = np.searchsorted(off, at, "right") - 1
@@ -343,25 +365,47 @@ def _judged(hashes: np.ndarray, p: np.ndarray) -> tuple[str, float, float]:
     return "unknown", float(1 - p[NONE]), float(cover.max())
 
 
-def found(text: pa.Array, s: Scanner) -> list[tuple[int, int, str, float, float]]:
-    """(row, line, family, probability, similarity) of a text column's licence lines."""
+def found(text: pa.Array, s: Scanner) -> list[tuple[int, int, int, str, float, float]]:
+    """(row, first line, last line, family, probability, similarity) of a text column's licences."""
     out = []
     for a, b in X.slices(text):
         h, off, row, number = lines(text.slice(a, b - a))
+        if not len(row):
+            continue
+        begins = paragraphs(off, row, number)
+        line_of, paragraph_of = np.repeat(np.arange(len(row)), np.diff(off)), np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+        got: dict[int, dict[tuple[int, str], tuple]] = {}  # by paragraph, then by first line and family
         p = probabilities(h, off, s)
-        got = {int(k): {x[0]: x} for k in np.flatnonzero(p[:, NONE] < 0.5) for x in [_judged(h[off[k] : off[k + 1]], p[k])]}
-        places = list(passages(h, off))
+        for k in np.flatnonzero(p[:, NONE] < 0.5).tolist():
+            family, *rest = _judged(h[off[k] : off[k + 1]], p[k])
+            got.setdefault(int(paragraph_of[k]), {})[k, family] = (k, k, family, *rest)
+        whole = off[begins]
+        places = list(passages(h, whole))
         if places:
             parts = [h[begin:end] for _, begin, end in places]
             q = probabilities(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts]))), s)
-            for (k, _, _), words, x in zip(places, parts, q):
+            for (n, begin, end), words, x in zip(places, parts, q):
                 if x[NONE] < 0.5:
                     family, *rest = _judged(words, x)
-                    got.setdefault(k, {}).setdefault(family, (family, *rest))
-        for k in sorted(got):
-            for family, *rest in got[k].values():
-                if family != "unknown" or len(got[k]) == 1:
-                    out.append((a + int(row[k]), int(number[k]), family, *rest))
+                    first, last = int(line_of[begin]), int(line_of[end - 1])
+                    there = got.setdefault(n, {})
+                    if last > first:  # its lines by themselves are pieces of it
+                        there = got[n] = {k: x for k, x in there.items() if not (first <= k[0] <= last and k[1] in (family, "unknown"))}
+                    if all(f != family for _, f in there):
+                        there[first, family] = (first, last, family, *rest)
+        several = np.flatnonzero(np.diff(begins) > 1)
+        several = several[[n not in got for n in several.tolist()]]
+        if len(several):
+            parts = [h[whole[n] : whole[n + 1]] for n in several]
+            q = probabilities(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts]))), s)
+            for n, words, x in zip(several.tolist(), parts, q):
+                if x[NONE] < 0.5:
+                    got[n] = {(0, ""): (int(begins[n]), int(begins[n + 1]) - 1, *_judged(words, x))}
+        for n in sorted(got):
+            known = any(x[2] != "unknown" for x in got[n].values())
+            for first, last, family, *rest in sorted(got[n].values(), key=lambda x: x[:3]):
+                if family != "unknown" or not known:
+                    out.append((a + int(row[first]), int(number[first]), int(number[last]), family, *rest))
     return out
 
 
@@ -381,10 +425,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = found(batch.column(1), shared.value)
-            row, line, family, p, cover = zip(*rows) if rows else ((),) * 5
+            row, first, last, family, p, cover = zip(*rows) if rows else ((),) * 6
             yield pa.record_batch(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(line, pa.int32()), pa.array(family, pa.string()), pa.array(np.round(np.array(p, float), 6)), pa.array(np.round(np.array(cover, float), 6))],
-                names=["doc_id", "line", "family", "probability", "similarity"],
+                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(family, pa.string()), pa.array(np.round(np.array(p, float), 6)), pa.array(np.round(np.array(cover, float), 6))],
+                names=["doc_id", "first_line", "last_line", "family", "probability", "similarity"],
             )
 
-    return slim.mapInArrow(run, "doc_id long, line int, family string, probability double, similarity double")
+    return slim.mapInArrow(run, "doc_id long, first_line int, last_line int, family string, probability double, similarity double")

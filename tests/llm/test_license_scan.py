@@ -61,14 +61,14 @@ def test_families_unknown_and_prose(spark, scanner):
         "the the the of of of the the": None,
         "License License License License": None,
     }
-    got = {row: family for row, _, family, _, _ in L.found(pa.array(list(lines)), scanner)}
+    got = {row: family for row, _, _, family, _, _ in L.found(pa.array(list(lines)), scanner)}
     for k, (text, family) in enumerate(lines.items()):
         if family:
             assert got.get(k) == family, text
         else:
             assert got.get(k, "unknown") == "unknown", text
     other = L.found(pa.array(["Licensed under the Quux License, Version 9.0"]), scanner)
-    assert {f for _, _, f, _, _ in other} <= {"unknown"}
+    assert {f for _, _, _, f, _, _ in other} <= {"unknown"}
 
 
 def test_whole_table_nulls_long_and_repeated_rows(spark):
@@ -76,7 +76,7 @@ def test_whole_table_nulls_long_and_repeated_rows(spark):
     long = "word " * 40_000 + "\n" + mit
     rows = [(1, "some text\n" + mit), (1, "some text\n" + mit), (None, mit), (2, None), (3, ""), (4, "\n\n"), (5, long), (6, "nothing here")]
     docs = spark.createDataFrame([(d, t, 7, "x") for d, t in rows], SCHEMA)
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.line, r.family) for r in L.scanned(docs).collect())
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.first_line, r.family) for r in L.scanned(docs).collect())
     assert got == [(False, 1, 1, "MIT"), (False, 1, 1, "MIT"), (False, 5, 1, "MIT"), (True, 0, 0, "MIT")]
 
 
@@ -106,11 +106,35 @@ def test_a_notice_within_a_long_line_is_found(scanner):
         around = " ".join((prose * 100)[:many])
         for notice, family in notices.items():
             got = L.found(pa.array([f"{around} {notice} {around}"]), scanner)
-            assert [(n, f) for _, n, f, _, _ in got] == [(0, family)], (many, notice)
-        assert {f for _, _, f, _, _ in L.found(pa.array([around]), scanner)} <= {"unknown"}
+            assert [(n, f) for _, n, _, f, _, _ in got] == [(0, family)], (many, notice)
+        assert {f for _, _, _, f, _, _ in L.found(pa.array([around]), scanner)} <= {"unknown"}
 
 
 def test_all_families_of_a_long_line_are_found(scanner):
     far = " ".join(["and the sea was calm"] * 40)
     got = L.found(pa.array([f"{far} Released under the MIT License. {far} Licensed under the Apache License, Version 2.0. {far}"]), scanner)
-    assert sorted(f for _, _, f, _, _ in got) == ["Apache-2.0", "MIT"]
+    assert sorted(f for _, _, _, f, _, _ in got) == ["Apache-2.0", "MIT"]
+
+
+def test_a_notice_that_is_broken_into_lines_is_found(scanner):
+    notices = {
+        "under the terms of the GNU Lesser\nGeneral Public License": "LGPL",
+        "Permission is hereby granted,\nfree of charge, to any person\nobtaining a copy": "MIT",
+        "Licensed under the Apache\nLicense, Version 2.0.": "Apache-2.0",
+    }
+    for notice, family in notices.items():
+        n = notice.count("\n")
+        for before, after, at in (("", "", 0), ("the king had a house by the sea\n", "\nand many people came", 1), ("one day\n\n", "\n\nthe end", 2)):
+            got = L.found(pa.array([before + notice + after]), scanner)
+            assert [(first, last, f) for _, first, last, f, _, _ in got] == [(at, at + n, family)], (notice, before)
+    assert not [f for _, _, _, f, _, _ in L.found(pa.array(["under the terms of the GNU\n\nLesser General Public License"]), scanner) if f == "GPL"]
+
+
+def test_paragraphs_are_runs_of_lines():
+    h, off, row, number = L.lines(pa.array(["a\nb\n\nc\n--\nd", "e\nf"]))
+    assert L.paragraphs(off, row, number).tolist() == [0, 2, 3, 4, 6]
+
+
+def test_places_that_tie_go_to_the_first():
+    words = X.hash_words("all rights reserved all rights reserved")
+    assert [x for x in L.passages(words, np.array([0, len(words)]))][0][1] == 0
