@@ -69,4 +69,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle_sql(),
     "op8_url_rules": url_rules.oracle_sql(),
+    "op10_suffix_dedup": suffix_dedup.oracle_sql(),
 }

@@ -48,7 +48,7 @@ HOT = 20_000
 #: Bytes of text that share one suffix array, about.
 CHUNK_BYTES = 4 << 20
 #: Sets of row keys of up to so many are broadcast to the scan of the documents; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 4_000_000
+BROADCAST_ROWS = 500_000
 _SLICE = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -317,6 +317,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return slim.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
 
 
+def _few_or_many(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows joined with ids, which are broadcast if they are few."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key)
+
+
 def _around(keyed: DataFrame, places: DataFrame) -> DataFrame:
     """doc_id, rk, text and the lists pos and h of the rows that have places (h, rk, pos)."""
     lists = cut(places.groupBy("rk").agg(F.collect_set(F.struct("pos", "h")).alias("at")).select("rk", "at.pos", "at.h"))
@@ -330,9 +335,9 @@ def _runs(docs: DataFrame, hot: int) -> DataFrame:
     """doc_id, rk, start, end, first, first_doc_id: runs of repeated windows, some of which touch or overlap."""
     keyed = _keyed(docs)
     anchors = keyed.select("rk", "text").mapInArrow(_anchors, "h long, rk long, pos int")
-    of = Window.partitionBy("h")
-    many = anchors.select("h", "rk", "pos", F.min("rk").over(of).alias("low"), F.max("rk").over(of).alias("high"), F.count("*").over(of).alias("n")).where("low < high")
-    shared = cut(many.select("h", "rk", "pos", "n"))
+    # counted first, so that an anchor of any number of places is many rows of a join and no task's own
+    often = anchors.groupBy("h").agg(F.min("rk").alias("low"), F.max("rk").alias("high"), F.count("*").alias("n")).where("low < high").select("h", "n")
+    shared = cut(_few_or_many(anchors, cut(often), "h"))
     snippets = _around(keyed, shared.where(F.col("n") <= hot)).mapInArrow(_snippets, "h long, doc_id long, rk long, start int, words binary")
     schema = "doc_id long, rk long, start int, end int, first boolean, first_doc_id long"
     runs = snippets.repartition("h").sortWithinPartitions("h").mapInArrow(_by_suffixes, schema)
@@ -340,8 +345,9 @@ def _runs(docs: DataFrame, hot: int) -> DataFrame:
     if beyond.isEmpty():
         return runs
     windows = _around(keyed, beyond).mapInArrow(_windows, "w1 long, w2 long, doc_id long, rk long, start int").distinct()
-    of = Window.partitionBy("w1", "w2")
-    seen = windows.select("doc_id", "rk", "start", F.min(F.struct("doc_id", "start")).over(of).alias("low"), F.max("doc_id").over(of).alias("high")).where("low.doc_id < high")
+    windows = cut(windows)
+    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("low"), F.max("doc_id").alias("high")).where("low.doc_id < high")
+    seen = windows.join(first, ["w1", "w2"])
     return runs.unionByName(seen.selectExpr("doc_id", "rk", "start", f"start + {LENGTH} AS end", "doc_id = low.doc_id AND start = low.start AS first", "low.doc_id AS first_doc_id"))
 
 
@@ -374,13 +380,13 @@ def _cut(text: pa.Array, begins: pa.Array, ends: pa.Array) -> list[str | None]:
 
 def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """docs without the passages that an earlier occurrence stands for."""
-    spans = cut(_spans(docs, hot).where("removed").groupBy("rk").agg(F.collect_list("start_word").alias("_begins"), F.collect_list("end_word").alias("_ends")).withColumnRenamed("rk", "_rk"))
+    spans = cut(_spans(docs, hot).where("removed").groupBy("rk").agg(F.collect_list("start_word").alias("_tessera_begins"), F.collect_list("end_word").alias("_tessera_ends")).withColumnRenamed("rk", "_tessera_rk"))
     key = F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    rows = docs.withColumn("_rk", key)
-    ids = spans.select("_rk")
+    rows = docs.withColumn("_tessera_rk", key)
+    ids = spans.select("_tessera_rk")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    rest = rows.join(ids, "_rk", "left_anti").select(*docs.columns)
+    rest = rows.join(ids, "_tessera_rk", "left_anti").select(*docs.columns)
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -394,6 +400,20 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
             left = pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(text)), 0)
             yield pa.record_batch(columns, names=batch.schema.names[:-2]).filter(left)
 
-    affected = rows.join(ids, "_rk", "left_semi").join(spans, "_rk").select(*docs.columns, "_begins", "_ends")
+    affected = rows.join(ids, "_tessera_rk", "left_semi").join(spans, "_tessera_rk").select(*docs.columns, "_tessera_begins", "_tessera_ends")
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
     return rest.unionByName(affected.mapInArrow(shorten, schema))
+
+
+def oracle_sql() -> str:
+    """All windows of LENGTH words by their text, in DuckDB."""
+    return f"""
+WITH d AS (SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT doc_id, text, s, md5(array_to_string(w[s + 1:s + {LENGTH}], ' ')) AS k FROM (SELECT doc_id, text, w, unnest(range(len(w) - {LENGTH - 1})) AS s FROM d WHERE len(w) >= {LENGTH})),
+g AS (SELECT k, min(doc_id) AS low FROM p GROUP BY k HAVING min(doc_id) < max(doc_id)),
+f AS (SELECT k, min(s) AS low_start FROM p JOIN g USING (k) WHERE doc_id = low GROUP BY k),
+h AS (SELECT doc_id, text, s, low, NOT (doc_id = low AND s = low_start) AS removed FROM p JOIN g USING (k) JOIN f USING (k)),
+i AS (SELECT *, CASE WHEN s <= {LENGTH} + lag(s) OVER (PARTITION BY doc_id, text, removed ORDER BY s) THEN 0 ELSE 1 END AS new FROM h),
+j AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, text, removed ORDER BY s) AS island FROM i)
+SELECT DISTINCT doc_id, CAST(start_word AS INTEGER) AS start_word, CAST(end_word AS INTEGER) AS end_word, first_doc_id, removed
+FROM (SELECT doc_id, text, removed, island, min(s) AS start_word, max(s) + {LENGTH} AS end_word, min(low) AS first_doc_id FROM j GROUP BY doc_id, text, removed, island)"""

@@ -129,3 +129,21 @@ def test_snippets_share_a_suffix_array_across_anchors():
     doc, start, words = np.array([1, 2, 3]), np.array([0, 5, 9]), pa.array([" ".join(f"a{k}" for k in range(60))] * 2 + [" ".join(f"b{k}" for k in range(60))])
     row, s, e, first, of = S.repeats(doc, start, words)
     assert sorted(zip(row.tolist(), s.tolist(), e.tolist(), first.tolist(), of.tolist())) == [(0, 0, 60, 1, 1), (1, 5, 65, 0, 1)]
+
+
+def test_passages_are_those_of_the_sql(spark):
+    import duckdb
+
+    for rows in (corpus(7), None):
+        docs = frame(spark, rows) if rows else spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+        con = duckdb.connect()
+        con.register("documents", docs.toPandas())
+        want = con.execute(S.oracle_sql())
+        columns = [d[0] for d in want.description]
+        assert sorted(map(tuple, S.passages(docs).select(*columns).collect())) == sorted(want.fetchall())
+
+
+def test_columns_of_any_name_stay(spark):
+    p = " ".join(f"p{k}" for k in range(60))
+    docs = frame(spark, [(1, "a " + p), (2, p + " b")]).withColumn("_rk", F.lit(5)).withColumn("rk", F.lit("x")).withColumn("h", F.lit(1.5))
+    assert sorted((r.doc_id, r.text, r._rk, r.rk, r.h) for r in S.without_repeats(docs).collect()) == [(1, "a " + p, 5, "x", 1.5), (2, "b", 5, "x", 1.5)]
