@@ -4,8 +4,8 @@ Words (by their letters and digits, in lower case) are counted over the whole co
 leaves of nested classes: a class of BRANCH members holds LEAVES words and as many smaller classes, down to as many levels
 as the corpus has words, so that each word has an output of its own and a frequent one is reached in few steps. A word's
 probability is the product, over the classes on its way, of the member's probability given the class and the context: a
-softmax of what the counts alone say plus the weights of hashed features: the word before, the two words before (n-grams),
-and the second word before alone (a skip). The table of weights has ROWS * words ** GROWTH rows, at most MOST_ROWS, which is
+softmax of what the counts alone say plus the weights of hashed features: the word before, and on the first WIDE levels the
+two words before (n-grams) and the second word before alone (a skip). The table of weights has ROWS * words ** GROWTH rows, at most MOST_ROWS, which is
 the bound of what is broadcast.
 
 Training visits every document once, in STEPS synchronous steps that each take the documents of one hash. In a step every
@@ -18,8 +18,8 @@ Result: doc_id, n_words, log_prob (mean natural logarithm of the words' probabil
 Defined results: a null or empty text, or one without words, has n_words 0 and null scores; texts of any length are read
 whole; a null doc_id is scored and reported as it is; repeated rows are scored each, and count in the training; words of
 equal count are in order of their hash; a word that training never saw has the probability of a class of its own, which
-counts once; words of one id (the first bits of the hash, of which there are four times as many as words, MOST_BITS at
-most) are one. Only doc_id and text are read, so other columns may clash; an empty table gives an empty result.
+counts once; words of one id (the first bits of the hash, of which there are two to four times as many as
+words, MOST_BITS bits at most) are one. Only doc_id and text are read, so other columns may clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,10 +38,13 @@ from tessera.plans.lineage import cut
 
 #: Members of a class; of those, words where there are smaller classes below. LEAVES is 1 << _SHIFT and half of BRANCH.
 BRANCH, LEAVES, _SHIFT = 32, 16, 4
-ROWS, GROWTH, LEAST_ROWS, MOST_ROWS = 1.0, 2 / 3, 1 << 10, 1 << 21
-LEAST_BITS, MOST_BITS = 12, 24
+#: Levels on which all features have weights; below them, where classes are rare, the word before alone has.
+WIDE = 2
+ROWS, GROWTH, LEAST_ROWS, MOST_ROWS = 2.4, 0.6, 1 << 10, 1 << 21
+LEAST_BITS, MOST_BITS = 12, 22
 STEPS, RATE, SHRINK, CLIP = 5, 4.0, 10.0, 15.0
-BATCH = 16384
+#: Positions whose gradients are added up together, and positions whose weights are in the processor's cache together.
+BATCH, CHUNK = 1 << 16, 1 << 12
 #: Rows of the table that are sent together.
 _BLOCK = 2048
 _SLICE = 1 << 20
@@ -53,22 +56,21 @@ _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 
 
 class Vocabulary(NamedTuple):
-    """Of each word id its level (from 1), class within the level and member; of each level its first class; of each class
-    the logarithms of its members' shares by the counts."""
+    """Of each word id the place of its leaf: class within the level << 8 | member << 3 | level (from 1); of each level its
+    first class; of each class the logarithms of its members' shares by the counts."""
 
-    level: np.ndarray
-    home: np.ndarray
-    member: np.ndarray
+    leaf: np.ndarray
     first: np.ndarray
     base: np.ndarray
 
     @property
     def bits(self) -> int:
-        return len(self.level).bit_length() - 1
+        return len(self.leaf).bit_length() - 1
 
 
 class Sums(NamedTuple):
-    """The gradient of each row's weights, of the summed logarithms of probabilities, and how often the row occurred."""
+    """The gradient of each row's weights (a column each), of the summed logarithms of probabilities, and how often the row
+    occurred."""
 
     gradient: np.ndarray
     seen: np.ndarray
@@ -104,9 +106,15 @@ def vocabulary(counts: np.ndarray) -> Vocabulary:
         np.add.at(mass, (first[step - 1] + _class(home[at], level[at], step), _member(home[at], member[at], level[at], step)), many[at])
     total = mass.sum(axis=1, keepdims=True)
     base = np.where(mass > 0, np.log(np.maximum(mass, 1e-30) / np.maximum(total, 1e-30)), _NEVER).astype(np.float32)
-    place = np.full(len(counts), len(many) - 1)
+    place = np.full(len(counts), len(many) - 1, np.int32)
     place[some] = np.arange(len(some))
-    return Vocabulary(level[place].astype(np.int8), home[place].astype(np.int32), member[place].astype(np.int8), first, base)
+    return Vocabulary((home << 8 | member << 3 | level).astype(np.uint32)[place], first, base)
+
+
+def leaves(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Level, class within it and member of Vocabulary.leaf."""
+    code = code.astype(np.int64)
+    return code & 7, code >> 8, code >> 3 & 31
 
 
 def _class(home: np.ndarray, level: np.ndarray, step: int) -> np.ndarray:
@@ -144,12 +152,13 @@ class Scorer:
         half, quarter = len(table) // 2, len(table) // 4
         self.parts = ((0, half), (half, quarter), (half + quarter, len(table) - half - quarter))
         self.salt = X.mix(np.arange(v.first[-1], dtype=np.uint64) * _ODD[1] + np.uint64(7))
-        self.z, self.y = np.empty((BATCH, BRANCH), np.float32), np.empty((BATCH, BRANCH), np.float32)
+        self.z, self.y = np.empty((CHUNK, BRANCH), np.float32), np.empty((CHUNK, BRANCH), np.float32)
+        self.turned = np.empty((BRANCH, BATCH), np.float32)
 
-    def rows(self, f: np.ndarray, cls: np.ndarray) -> list[np.ndarray]:
-        """The table row of each feature within each class."""
+    def rows(self, f: np.ndarray, cls: np.ndarray, wide: bool) -> list[np.ndarray]:
+        """The table row of each feature, or of the first alone, within each class."""
         out, salt = [], self.salt[cls]
-        for k, (begin, size) in enumerate(self.parts):
+        for k, (begin, size) in enumerate(self.parts if wide else self.parts[:1]):
             h = ((f[k] ^ salt) * _ODD[2]) >> np.uint64(32)
             out.append(((h * np.uint64(size)) >> np.uint64(32)).astype(np.int64) + begin)
         return out
@@ -158,57 +167,58 @@ class Scorer:
         """(places, classes, members, rows) of a level of a batch; a place comes once for each level of its word."""
         f = features(word, row)
         for a in range(0, len(word), BATCH):
-            w = word[a : a + BATCH]
-            level, home, member = self.v.level[w].astype(np.int64), self.v.home[w].astype(np.int64), self.v.member[w]
+            level, home, member = leaves(self.v.leaf[word[a : a + BATCH]])
             for step in range(1, len(self.v.first)):
                 at = np.flatnonzero(level >= step)
                 if not len(at):
                     break
                 cls = self.v.first[step - 1] + _class(home[at], level[at], step)
-                yield at + a, cls, _member(home[at], member[at], level[at], step), self.rows(f[:, a + at], cls)
+                yield at + a, cls, _member(home[at], member[at], level[at], step), self.rows(f[:, a + at] if step <= WIDE else f[:1, a + at], cls, step <= WIDE)
 
-    def logits(self, cls: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        z, y = self.z[: len(cls)], self.y[: len(cls)]
-        np.take(self.v.base, cls, axis=0, out=z, mode="clip")
-        for r in rows:
-            np.take(self.table, r, axis=0, out=y, mode="clip")
-            z += y
-        return z  # weights are within CLIP, so exp() is finite and their sum isn't 0
+    def exponentials(self, cls: np.ndarray, member: np.ndarray, rows: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Chunk by chunk: the exponentials of all members' logits, their sums, and the logits of the members asked for."""
+        one = np.ones(BRANCH, np.float32)
+        for a in range(0, len(cls), CHUNK):
+            part = slice(a, min(a + CHUNK, len(cls)))
+            z, y = self.z[: part.stop - a], self.y[: part.stop - a]
+            np.take(self.v.base, cls[part], axis=0, out=z, mode="clip")
+            for r in rows:
+                np.take(self.table, r[part], axis=0, out=y, mode="clip")
+                z += y
+            own = z[np.arange(len(z)), member[part]]
+            np.exp(z, out=z)  # weights are within CLIP, so it is finite and the sum isn't 0
+            yield part, z, z @ one, own
 
     def log_probabilities(self, word: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Of each word of rows that lie end to end."""
-        out, one = np.zeros(len(word)), np.ones(BRANCH, np.float32)
+        out = np.zeros(len(word))
         for at, cls, member, rows in self.batches(word, row):
-            z = self.logits(cls, rows)
-            out[at] += z[np.arange(len(at)), member]
-            np.exp(z, out=z)
-            out[at] -= np.log(z @ one)
+            for part, _, total, own in self.exponentials(cls, member, rows):
+                out[at[part]] += own - np.log(total)
         return out
 
     def add_gradients(self, word: np.ndarray, row: np.ndarray, sums: Sums) -> None:
-        one = np.ones(BRANCH, np.float32)
+        one = np.ones(BATCH, np.float32)
         for at, cls, member, rows in self.batches(word, row):
-            p = self.logits(cls, rows)
-            np.exp(p, out=p)
-            p *= (-1 / (p @ one))[:, None]
-            p[np.arange(len(at)), member] += 1
-            y = self.y[: len(at)]
-            for r, (begin, size) in zip(rows, self.parts):
-                order = np.argsort((r - begin).astype(np.uint16) if size <= 1 << 16 else r, kind="stable")  # short keys are sorted by radix
-                r = r[order]
-                new = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-                np.take(p, order, axis=0, out=y, mode="clip")
-                sums.gradient[r[new]] += np.add.reduceat(y, new, axis=0)
-                sums.seen[r[new]] += np.diff(np.append(new, len(r)))
+            turned = self.turned[:, : len(at)]
+            for part, p, total, _ in self.exponentials(cls, member, rows):
+                p *= (-1 / total)[:, None]
+                p[np.arange(len(p)), member[part]] += 1
+                turned[:, part] = p.T
+            for one_member, errors in zip(sums.gradient, turned):  # member by member, which is far faster than whole rows
+                for r in rows:
+                    np.add.at(one_member, r, errors)
+            for r in rows:
+                np.add.at(sums.seen, r, one[: len(r)])
 
 
 def no_sums(rows: int) -> Sums:
-    return Sums(np.zeros((rows, BRANCH), np.float32), np.zeros(rows, np.float32))
+    return Sums(np.zeros((BRANCH, rows), np.float32), np.zeros(rows, np.float32))
 
 
 def stepped(table: np.ndarray, sums: Sums) -> np.ndarray:
     """The weights after a step along the summed gradients."""
-    return np.clip(table + RATE * sums.gradient / (sums.seen + SHRINK)[:, None], -CLIP, CLIP).astype(np.float32)
+    return np.ascontiguousarray(np.clip(table + RATE * (sums.gradient / (sums.seen + SHRINK)).T, -CLIP, CLIP), np.float32)
 
 
 def _words(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[X.Words, np.ndarray]]:
@@ -247,7 +257,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_words(docs: DataFrame) -> np.ndarray:
     """The number of occurrences of each word id in all of docs; there are ids enough for the words of the corpus."""
     each = cut(docs.select("text").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    bits = min(max(LEAST_BITS, (4 * each.count()).bit_length()), MOST_BITS)
+    bits = min(max(LEAST_BITS, (2 * each.count()).bit_length()), MOST_BITS)
     got = each.groupBy(F.shiftrightunsigned("word", 64 - bits).alias("id")).agg(F.sum("n").alias("n")).toArrow()  # 2**bits rows at most
     out = np.zeros(1 << bits, np.int64)
     out[got.column("id").to_numpy()] = got.column("n").to_numpy()
@@ -279,14 +289,14 @@ def gradients(docs: DataFrame, v: Vocabulary, table: np.ndarray) -> Sums:
             scorer.add_gradients(ids(w, v.bits), row, sums)
         for a in range(0, len(table), _BLOCK):
             if sums.seen[a : a + _BLOCK].any():
-                yield pa.record_batch([pa.array([a // _BLOCK], pa.int32()), pa.array([sums.gradient[a : a + _BLOCK].tobytes()], pa.binary()), pa.array([sums.seen[a : a + _BLOCK].tobytes()], pa.binary())], names=["block", "gradient", "seen"])
+                yield pa.record_batch([pa.array([a // _BLOCK], pa.int32()), pa.array([sums.gradient[:, a : a + _BLOCK].tobytes()], pa.binary()), pa.array([sums.seen[a : a + _BLOCK].tobytes()], pa.binary())], names=["block", "gradient", "seen"])
         X.release()
 
     schema = "block int, gradient binary, seen binary"
     out = no_sums(len(table))
     for r in docs.select("text").coalesce(sc.defaultParallelism).mapInArrow(run, schema).groupBy("block").applyInArrow(_added, schema).toLocalIterator():  # the table's size
         at = slice(r.block * _BLOCK, (r.block + 1) * _BLOCK)
-        out.gradient[at], out.seen[at] = np.frombuffer(r.gradient, np.float32).reshape(-1, BRANCH), np.frombuffer(r.seen, np.float32)
+        out.gradient[:, at], out.seen[at] = np.frombuffer(r.gradient, np.float32).reshape(BRANCH, -1), np.frombuffer(r.seen, np.float32)
     shared.unpersist()
     return out
 
