@@ -1,9 +1,9 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer network.
 
 Words stand in BUCKETS by hash, each followed by its shape (case and marks at its ends), which is a word of its own.
-Every bucket has a sparse random index vector; its context vector is the sum of the index vectors of its neighbours over
-the whole corpus. A document is the mean of its words' vectors and the mean absolute step between adjacent ones. A
-network of one hidden layer, fitted in numpy on at most SAMPLE labelled documents, gives the probability that the
+Every bucket has a sparse random index vector of DIM dimensions; its context vector is the sum of the index vectors of its
+neighbours, WINDOW words and as many shapes to either side, over the whole corpus. A document is the mean of its words'
+vectors and the mean absolute step between adjacent ones in their first STEPS dimensions. A network of one hidden layer, fitted in numpy on at most SAMPLE labelled documents, gives the probability that the
 document is good; a temperature fitted on held-out labels calibrates it. All documents are scored.
 
 Defined results: a null or empty text, or one without words, has no vector and is rejected with probability 0; texts of
@@ -25,18 +25,22 @@ from pyspark.sql import types as T
 
 from tessera.llm import text as X
 
-BUCKETS, DIM, NONZERO, WINDOW = 1 << 15, 32, 2, 2
+BUCKETS, DIM, NONZERO, WINDOW = 1 << 15, 256, 8, 2
+#: Dimensions in which steps from word to word are taken.
+STEPS = 32
 #: Labelled documents that the network is fitted on: those of lowest hash.
 SAMPLE = 12_000
-HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 1e-4
+HIDDEN, EPOCHS, RATE, DECAY = 32, 40, 0.003, 1e-3
 HELD_OUT = 0.2
 KEEP = 0.5
-_BLOCK = 512
+_BLOCK = 128
 _SLICE = 1 << 19
+#: Words whose vectors are in the processor's cache together.
+_CHUNK = 2048
 
 _RANDOM = np.random.default_rng(3)
-_PLACE = _RANDOM.integers(0, DIM, (BUCKETS, NONZERO))
-_SIGN = _RANDOM.choice([-1.0, 1.0], (BUCKETS, NONZERO))
+_PLACE = _RANDOM.random((BUCKETS, DIM)).argsort(axis=1)[:, :NONZERO].astype(np.int64)
+_SIGN = _RANDOM.choice(np.array([-1, 1], np.float32), (BUCKETS, NONZERO))
 
 _KIND = np.zeros(256, np.uint64)  # 0 other, 1 lower or beyond ASCII, 2 upper, 3 digit, else the mark itself
 for _b in range(256):
@@ -62,19 +66,27 @@ def stream(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This task's sums of neighbours' index vectors, in blocks of _BLOCK buckets."""
-    total = np.zeros(BUCKETS * DIM)
+    total = np.zeros(BUCKETS * DIM, np.float32)
     for batch in batches:
         for a, b in X.slices(batch.column(0), _SLICE):
             ids, off = stream(batch.column(0).slice(a, b - a))
             row = np.repeat(np.arange(b - a), np.diff(off))
-            for d in range(1, WINDOW + 1):
+            near = []
+            for d in range(1, 2 * WINDOW + 1):
                 same = row[d:] == row[:-d]
                 left, right = ids[:-d][same], ids[d:][same]
-                for k in range(NONZERO):
-                    total += np.bincount(left * DIM + _PLACE[right, k], _SIGN[right, k], BUCKETS * DIM)
-                    total += np.bincount(right * DIM + _PLACE[left, k], _SIGN[left, k], BUCKETS * DIM)
-    parts = total.astype(np.float32).reshape(-1, _BLOCK * DIM)
-    yield pa.record_batch([pa.array(np.arange(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "part"])
+                near += [left * BUCKETS + right, right * BUCKETS + left]
+            if not near:
+                continue
+            pair, many = np.unique(np.concatenate(near), return_counts=True)  # in order of the bucket that they are added to
+            own, other, many = pair // BUCKETS * DIM, pair % BUCKETS, many.astype(np.float32)
+            for k in range(NONZERO):
+                np.add.at(total, own + _PLACE[other, k], many * _SIGN[other, k])
+    parts = total.reshape(-1, _BLOCK * DIM)
+    at = np.flatnonzero(parts.any(axis=1))
+    for k in at:
+        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names=["block", "part"])
+    X.release()
 
 
 def _summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,35 +100,50 @@ def _summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """BUCKETS x DIM unit context vectors of the whole corpus; a bucket that never occurs is all zero.
 
-    The tasks' sums are of fixed size, so there are no more tasks than a few per core.
+    The tasks' sums are of fixed size, so there are no more tasks than cores.
     """
-    tasks = 3 * docs.sparkSession.sparkContext.defaultParallelism
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
     parts = docs.select(F.col("text").cast("string").alias("text")).coalesce(tasks).mapInArrow(_contexts, "block int, part binary")
     out = np.zeros((BUCKETS // _BLOCK, _BLOCK * DIM), np.float32)
-    for r in parts.groupBy("block").applyInArrow(_summed, "block int, part binary").collect():
+    for r in parts.groupBy("block").applyInArrow(_summed, "block int, part binary").toLocalIterator():
         out[r.block] = np.frombuffer(r.part, np.float32)
     out = out.reshape(BUCKETS, DIM)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
+WIDTH = DIM + STEPS + 1
+
+
 def pooled(text: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """2 DIM + 1 features of each row; the last is 1 where there are words."""
+    """WIDTH features of each row; the last is 1 where there are words."""
     out = []
+    v, first = np.empty((_CHUNK, DIM), np.float32), np.ascontiguousarray(vectors[:, :STEPS])
+    here, before = np.empty((_CHUNK, STEPS), np.float32), np.empty((_CHUNK, STEPS), np.float32)
     for a, b in X.slices(text, _SLICE):
         ids, off = stream(text.slice(a, b - a))
         n = np.diff(off)
-        v = vectors[ids]
-        part = np.zeros((b - a, 2 * DIM + 1))
-        part[:, :DIM] = X.row_sums(v, off) / np.maximum(n, 1)[:, None]
-        step = np.zeros_like(v)
-        np.abs(v[2:] - v[:-2], out=step[2:])  # a word and the word before it, a shape and the shape before it
-        first = off[:-1][n > 0]
-        step[first] = step[first + 1] = 0
-        part[:, DIM : 2 * DIM] = X.row_sums(step, off) / np.maximum(n - 2, 1)[:, None]
+        row = np.repeat(np.arange(b - a), n)
+        part = np.zeros((b - a, WIDTH))
+        place = np.arange(len(ids)) - off[:-1][row]
+        for c in range(0, len(ids), _CHUNK):
+            i, r = ids[c : c + _CHUNK], row[c : c + _CHUNK]
+            m = len(i)
+            new = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+            np.take(vectors, i, axis=0, out=v[:m], mode="clip")
+            part[r[new], :DIM] += np.add.reduceat(v[:m], new, axis=0)
+            # a word and the word before it, a shape and the shape before it
+            np.take(first, i, axis=0, out=here[:m], mode="clip")
+            np.take(first, ids[np.maximum(np.arange(c, c + m) - 2, 0)], axis=0, out=before[:m], mode="clip")
+            np.subtract(here[:m], before[:m], out=here[:m])
+            np.abs(here[:m], out=here[:m])
+            here[:m][place[c : c + m] < 2] = 0
+            part[r[new], DIM:-1] += np.add.reduceat(here[:m], new, axis=0)
+        part[:, :DIM] /= np.maximum(n, 1)[:, None]
+        part[:, DIM:-1] /= np.maximum(n - 2, 1)[:, None]
         part[:, -1] = n > 0
         out.append(part)
-    return np.concatenate(out) if out else np.zeros((0, 2 * DIM + 1))
+    return np.concatenate(out) if out else np.zeros((0, WIDTH))
 
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
@@ -180,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, np.
             yield pa.record_batch([batch.column("doc_id"), batch.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     got = sample(docs, labels, ["quality"], SAMPLE).mapInArrow(features, "doc_id long, quality int, x array<double>").toArrow().sort_by([("doc_id", "ascending")])
-    x = np.array(got.column("x").to_pylist()).reshape(-1, 2 * DIM + 1)
+    x = np.array(got.column("x").to_pylist()).reshape(-1, WIDTH)
     y = (got.column("quality").to_numpy() > 0).astype(float)
     order = np.lexsort(np.concatenate((x.T, [got.column("doc_id").to_numpy()])))
     return vectors, fit(x[order], y[order]) if len(set(y)) == 2 else None

@@ -47,7 +47,7 @@ def test_context_vectors_are_those_of_brute_force(spark):
     for t in texts:
         ids, _ = Q.stream(pa.array([t or ""]))
         for i, a in enumerate(ids):
-            for j in range(max(0, i - Q.WINDOW), min(len(ids), i + Q.WINDOW + 1)):
+            for j in range(max(0, i - 2 * Q.WINDOW), min(len(ids), i + 2 * Q.WINDOW + 1)):
                 if i != j:
                     for k in range(Q.NONZERO):
                         want[a, Q._PLACE[ids[j], k]] += Q._SIGN[ids[j], k]
@@ -56,9 +56,16 @@ def test_context_vectors_are_those_of_brute_force(spark):
     assert np.allclose(Q.word_vectors(docs), want, atol=1e-5)
 
 
+def test_index_vectors_are_sparse_and_all_different():
+    assert all(len(set(p)) == Q.NONZERO for p in Q._PLACE[:2000].tolist())
+    full = np.zeros((Q.BUCKETS, Q.DIM), np.int8)
+    np.put_along_axis(full, Q._PLACE, Q._SIGN.astype(np.int8), 1)
+    assert len(np.unique(full, axis=0)) == Q.BUCKETS
+
+
 def test_pooling_is_that_of_brute_force():
-    vectors = np.random.default_rng(0).normal(size=(Q.BUCKETS, Q.DIM))
-    texts = ["a b c d", "", "single", None, "x y"]
+    vectors = np.random.default_rng(0).normal(size=(Q.BUCKETS, Q.DIM)).astype(np.float32)
+    texts = ["a b c d", "", "single", None, "x y", " ".join(f"w{k % 700}" for k in range(3000)), "after it"]
     got = Q.pooled(pa.array(texts), vectors)
     for k, t in enumerate(texts):
         ids, _ = Q.stream(pa.array([t or ""]))
@@ -66,9 +73,9 @@ def test_pooling_is_that_of_brute_force():
             assert not got[k].any()
             continue
         v = vectors[ids]
-        step = [np.abs(v[i] - v[i - 2]) for i in range(2, len(v))]
-        assert np.allclose(got[k, : Q.DIM], v.mean(0))
-        assert np.allclose(got[k, Q.DIM : 2 * Q.DIM], np.mean(step, axis=0) if step else 0)
+        step = [np.abs(v[i] - v[i - 2])[: Q.STEPS] for i in range(2, len(v))]
+        assert np.allclose(got[k, : Q.DIM], v.astype(float).mean(0), atol=1e-4)
+        assert np.allclose(got[k, Q.DIM : -1], np.mean(step, axis=0) if step else 0, atol=1e-4)
 
 
 def test_the_network_learns_and_is_calibrated():
