@@ -38,7 +38,8 @@ METRICS = {
     "inner_product": "inner_product", "mip": "inner_product", "maximum_inner_product": "inner_product",
     "cosine": "cosine",
 }
-ALGORITHMS = ("EXACT", "HNSW", "INT8_HNSW", "IVF", "NATIVE")
+#: sources.index.register_vector_algorithm adds others.
+ALGORITHMS = {"EXACT", "HNSW", "INT8_HNSW", "IVF", "NATIVE"}
 MAX_DIMENSION = 4096
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words by the usual word boundaries: marks such as ' . : join letters, and . , ; ' join digits; ideographs stand alone.
-_INNER = r"(?:[\p{L}\p{N}\p{M}_]&&[^\p{IsHan}\p{IsHiragana}])"
-STANDARD = rf"[\p{{IsHan}}\p{{IsHiragana}}]|{_INNER}+(?:(?:(?<=\p{{L}})['’.:·](?=\p{{L}})|(?<=\p{{N}})[.,;'](?=\p{{N}})){_INNER}+)*"
-_JAVA = STANDARD.replace(_INNER, r"[\p{L}\p{N}\p{M}_&&[^\p{IsHan}\p{IsHiragana}]]")
-_PYTHON = regex.compile(STANDARD.replace(_INNER, r"[[\p{L}\p{N}\p{M}_]--[\p{Han}\p{Hiragana}]]").replace("IsHan", "Han").replace("IsHiragana", "Hiragana"), regex.V1)
+#: Nothing is tried twice (++), and what is ASCII is told by a table before any property of a letter is looked up.
+_WORD = r"{inner}++(?:(?:(?<=\p{{L}})['’.:·](?=\p{{L}})|(?<=\p{{N}})[.,;'](?=\p{{N}})){inner}++)*+|(?=[^\x00-\x7F]){single}"
+_JAVA = _WORD.format(inner=r"[a-z0-9_[\p{L}\p{N}\p{M}&&[^\p{IsHan}\p{IsHiragana}]]]", single=r"[\p{IsHan}\p{IsHiragana}]")
+_PYTHON = regex.compile(_WORD.format(inner=r"[[\p{L}\p{N}\p{M}_]--[\p{Han}\p{Hiragana}]]", single=r"[\p{Han}\p{Hiragana}]"), regex.V1)
 MAX_TOKEN = 255
 
 Tokenizer = tuple[Callable[[Column], Column], Callable[[str], list[str]]]

@@ -24,6 +24,13 @@ def scores(metric: str, vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return out if many else out[:, 0]
 
 
+def of_product(metric: str, dot: np.ndarray) -> np.ndarray:
+    """The score that a product gives; of unit vectors for cosine."""
+    if metric == "inner_product":
+        return np.where(dot < 0, 1 / (1 - np.minimum(dot, 0)), dot + 1)
+    return np.maximum((1 + dot) / 2, 0)
+
+
 def paired(metric: str, vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """The score of each row of vectors for the query of the same row."""
     if metric == "l2":

@@ -6,6 +6,7 @@ then a few steps of coordinate descent on the error, weighted so that the error
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import cache
 from typing import NamedTuple
 
@@ -15,6 +16,23 @@ BITS = (1, 2, 4, 7, 8)
 LAMBDA, STEPS = 0.1, 5
 
 
+class Statistics(NamedTuple):
+    """Of each vector: mean, variance, squared length, least and greatest value, and product with a centroid."""
+
+    mean: np.ndarray
+    variance: np.ndarray
+    square: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    along: np.ndarray
+
+
+def statistics(vectors: np.ndarray, centroid: np.ndarray) -> Statistics:
+    """Of vectors less a centroid; the product is that of the vectors themselves."""
+    r = vectors - centroid
+    return Statistics(r.mean(1), r.var(1), np.square(r).sum(1), r.min(1), r.max(1), vectors @ centroid)
+
+
 class Codes(NamedTuple):
     """Integer codes of each vector, the ends of its interval and its squared length."""
 
@@ -76,6 +94,41 @@ def quantize(residual: np.ndarray, bits: int) -> Codes:
     return Codes(coded(low, high).astype(np.uint8), low, high, square)
 
 
+def quantize_each(residual: np.ndarray, bits: Iterable[int]) -> dict[int, Codes]:
+    """Codes of several widths of the same vectors."""
+    return {b: quantize(residual, b) for b in bits}
+
+
+def _step(c: Codes, bits: int) -> np.ndarray:
+    return (c.high - c.low) / ((1 << bits) - 1)
+
+
+def products(c: Codes, bits: int, query: np.ndarray) -> np.ndarray:
+    """The product of each coded vector with a query, without restoring the vectors."""
+    return c.low * query.sum() + _step(c, bits) * (c.code.astype(np.float32) @ query.astype(np.float32))
+
+
+def code_products(c: Codes, bits: int, q: Codes, query_bits: int) -> np.ndarray:
+    """The products of coded vectors (rows) with coded queries (columns), of integers alone but for the corrections:
+    a b n + b s sum(x) + a t sum(y) + s t x.y of vectors a + s x and queries b + t y of n values."""
+    a, s, b, t = c.low[:, None], _step(c, bits)[:, None], q.low[None], _step(q, query_bits)[None]
+    x, y = c.code.astype(np.int64), q.code.astype(np.int64)
+    return a * b * x.shape[1] + b * s * x.sum(1)[:, None] + a * t * y.sum(1)[None] + s * t * integer_products(c.code, bits, q.code, query_bits)
+
+
+def integer_products(x: np.ndarray, bits: int, y: np.ndarray, query_bits: int) -> np.ndarray:
+    """x.y of integer codes: bit plane by bit plane, as the number of bits that both have, where x has one or two bits."""
+    if bits > 2:
+        return x.astype(np.int64) @ y.astype(np.int64).T
+    planes = lambda z, n: [np.packbits(z >> k & 1, axis=1) for k in range(n)]
+    out = np.zeros((len(x), len(y)), np.int64)
+    for i, a in enumerate(planes(x, bits)):
+        for j, b in enumerate(planes(y, query_bits)):
+            for k, row in enumerate(b):
+                out[:, k] += np.bitwise_count(a & row).sum(axis=1, dtype=np.int64) << (i + j)
+    return out
+
+
 def restored(c: Codes, bits: int) -> np.ndarray:
     return c.low[:, None] + c.code * ((c.high - c.low) / ((1 << bits) - 1))[:, None]
 

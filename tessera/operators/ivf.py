@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from tessera.config import metric as canonical
 from tessera.config import top_k
 from tessera.functions import metrics
-from tessera.functions.quantize import BITS, Codes, packed, quantize, restored, rotation, unpacked
+from tessera.functions.quantize import BITS, Codes, packed, products, quantize, restored, rotation, unpacked
 from tessera.operators.vector import QUERIES, best, knn, knn_batch, matrix, rescored, restricted
 from tessera.plans.lineage import cut
 
@@ -442,6 +442,26 @@ def search_batch(index: Ivf, queries: DataFrame, k: int, oversample: float = 3.0
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def estimated(how: str, codes: Codes, bits: int, centroid: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The scores of a cluster's rows from their codes; the residuals' lengths are exact."""
+    if how == "l2":
+        u = q - centroid
+        return 1 / (1 + np.maximum(u @ u - 2 * products(codes, bits, u) + codes.square, 0))
+    return metrics.of_product(how, q @ centroid + products(codes, bits, q))
+
+
+def global_centroid(index: Ivf) -> list[float]:
+    """The mean of all centroids."""
+    parts = index.centroids.select(F.posexplode("centroid").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("x")).orderBy("k").collect()  # a row per dimension
+    return [r.x for r in parts]
+
+
+def quantiles(index: Ivf, of: list[float]) -> list[float]:
+    """Approximate quantiles of the rows' squared distances from their centroids, from a mergeable sketch."""
+    sketch = index.postings.agg(F.kll_sketch_agg_double("square").alias("s"))
+    return list(sketch.select(*(F.kll_sketch_get_quantile_double("s", F.lit(q)).alias(f"q{k}") for k, q in enumerate(of))).first())
+
+
 def _ranked(index: Ivf, q: np.ndarray, how: str, many: int) -> list[tuple[int, int]]:
     """The best clusters and their sizes; no others leave the executors."""
     best = knn(index.centroids, q, many, how, id_column="cluster_id", vector_column="centroid")
@@ -453,7 +473,7 @@ def _probe(index: Ivf, clusters: list[int], q: np.ndarray, k: int, how: str, can
     """The k rows of the clusters with the best scores from their codes, each row once."""
     rows = restricted(index.postings.where(F.col("cluster_id").isin(clusters)), candidates)
     near = index.centroids.where(F.col("cluster_id").isin(clusters)).select("cluster_id", "centroid")
-    rows = rows.join(F.broadcast(near) if len(clusters) * index.dimension <= 1 << 22 else near, "cluster_id").select("_row_id", "code", "low", "high", "square", "centroid")
+    rows = rows.join(F.broadcast(near) if len(clusters) * index.dimension <= 1 << 22 else near, "cluster_id").select("_row_id", "code", "low", "high", "square", "centroid", "cluster_id")
     bits, dimension = index.bits, index.dimension
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,8 +483,13 @@ def _probe(index: Ivf, clusters: list[int], q: np.ndarray, k: int, how: str, can
                 continue
             data = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             codes = Codes(unpacked(data, bits, dimension), *(batch.column(c).to_numpy() for c in (2, 3, 4)))
-            x = matrix(batch.column(5), dimension) + restored(codes, bits)
-            ids, score = np.concatenate((ids, batch.column(0).to_numpy())), np.concatenate((score, metrics.scores(how, x, q)))
+            cluster = batch.column(6).to_numpy()
+            new = np.empty(len(cluster))
+            order = np.argsort(cluster, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+                own = Codes(*(x[part] for x in codes))
+                new[part] = estimated(how, own, bits, matrix(batch.column(5).slice(int(part[0]), 1), dimension)[0], q)
+            ids, score = np.concatenate((ids, batch.column(0).to_numpy())), np.concatenate((score, new))
             at = best(score, ids, 2 * k)  # a row may stand in two clusters
             ids, score = ids[at], score[at]
         yield pa.record_batch([pa.array(ids), pa.array(score)], names=["_row_id", "score"])

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import Field, Kind, Scalar, top_k
+from tessera.config import ALGORITHMS, Field, Kind, Scalar, top_k
 from tessera.functions import metrics
 from tessera.operators import fulltext, ivf, queryparser, vector
 from tessera.plans.lineage import cut
@@ -35,6 +35,7 @@ NATIVE: dict[str, Callable] = {}
 
 def register_vector_algorithm(name: str, search: Callable) -> None:
     NATIVE[name.upper()] = search
+    ALGORITHMS.add(name.upper())
 
 
 def _typed(df: DataFrame, f: Field) -> Column:
@@ -185,10 +186,10 @@ class Index:
         metrics.checked(query, f.dimension)
         top_k(k)
         name = (f.algorithm or "EXACT").upper()
+        if name in NATIVE:
+            return NATIVE[name](self, f, query, k, candidates)
         if name == "NATIVE":
-            if "NATIVE" not in NATIVE:
-                raise NotImplementedError("no NATIVE vector algorithm is registered")
-            return NATIVE["NATIVE"](self, f, query, k, candidates)
+            raise NotImplementedError("no NATIVE vector algorithm is registered")
         if candidates is not None and not isinstance(candidates, DataFrame):
             few = sorted(set(candidates))
             candidates = self.spark.createDataFrame([(int(x),) for x in few], "_row_id long")

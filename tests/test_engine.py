@@ -492,3 +492,35 @@ def test_standard_queries_run_over_the_written_postings(spark, tmp_path):
     for spec in (T.Match("text", "fox quick"), T.Phrase("text", "quick fox", 2), T.Match("text", "foxes", TextParams(fuzziness=2)), T.Pattern("text", "prefix", "adm")):
         a, b = (sorted((r._row_id, round(r.score, 9)) for r in d.collect()) for d in (made.full_text_search(spec, 9), T.search(plain, spec, 9)))
         assert a == b and a
+
+
+def test_scores_from_codes_are_those_of_restored_vectors():
+    rng = np.random.default_rng(8)
+    x, q, c = rng.normal(size=(40, 37)), rng.normal(size=(3, 37)), rng.normal(size=37)
+    got = quantize.quantize_each(x, (1, 2, 4, 7))
+    for bits, codes in got.items():
+        assert np.allclose(quantize.products(codes, bits, q[0]), quantize.restored(codes, bits) @ q[0], atol=1e-4)
+        asked = quantize.quantize(q, 4)
+        assert np.allclose(quantize.code_products(codes, bits, asked, 4), quantize.restored(codes, bits) @ quantize.restored(asked, 4).T)
+    codes = got[7]
+    for how in ("l2", "inner_product", "dot_product"):
+        assert np.allclose(ivf.estimated(how, codes, 7, c, q[0]), metrics.scores(how, c + x, q[0]), rtol=0.05, atol=0.1)
+    s = quantize.statistics(x, c)
+    assert np.allclose(s.square, np.square(x - c).sum(1)) and np.allclose(s.variance, (x - c).var(1)) and np.allclose(s.along, x @ c)
+
+
+def test_statistics_of_clusters(spark):
+    df = _table(spark, 0, 300)
+    made = ivf.build(df, 8, vectors_per_cluster=64, vector_column="vec")
+    assert np.allclose(ivf.global_centroid(made), np.mean([r.centroid for r in made.centroids.collect()], axis=0))
+    squares = sorted(r.square for r in made.postings.select("square").collect())
+    low, mid = ivf.quantiles(made, [0.0, 0.5])
+    assert low == squares[0] and abs(mid - np.median(squares)) < 0.2 * mid
+
+
+def test_other_vector_algorithms_may_be_registered(spark, tmp_path):
+    I.register_vector_algorithm("first_rows", lambda index, f, query, k, candidates: index.rows.orderBy("_row_id").limit(k).select("_row_id"))
+    made = I.build(_table(spark, 0, 5), _declared("first_rows"), str(tmp_path / "x"))
+    assert ids(made.vector_search("vec", [0.0] * 8, 2)) == [0, 1]
+    with pytest.raises(ValueError):
+        Field("v", Kind.VECTOR, dimension=3, algorithm="second_rows")
