@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, license_scan, lm_scoring, near_duplicates, quality_classifier, quality_rules, sentencepiece, suffix_dedup, toxicity, url_rules
+from tessera.plans.spread import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
