@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     if wanted:
         return wanted
     sc = spark.sparkContext
-    if not sc.master.startswith("local["):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not hasattr(sc, "_tessera_folder"):
         sc._tessera_folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
