@@ -60,3 +60,29 @@ def test_ids_decode_to_the_text(steps):
 
 def test_run_is_all_stages(spark, steps):
     assert sorted(map(str, C.run(spark, SF).collect())) == sorted(map(str, steps[-1][1].collect()))
+
+
+def _write(spark, folder, documents, labels=(), benchmark=()):
+    docs = "doc_id long, text string, lang string, source string, n_chars long, label int, node string, low double, token_ids string"
+    spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1, "n", 0.5, "x") for d, t in documents], docs).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(d, q, 0, "x") for d, q in labels], "doc_id long, quality int, toxic int, text string").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(i, t, 1) for i, t in benchmark], "item_id long, text string, doc_id int").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_nulls_empty_long_repeated_rows_and_clashing_columns(spark, tmp_path):
+    own = lambda k, n=40: " ".join(f"w{k}x{j}" for j in range(n))
+    passage, item = own("p", 60), own("q", 20)
+    rows = [(1, own(1)), (2, own(1)), (3, own(3) + " " + passage), (4, own(4) + " " + passage), (5, None), (6, ""), (None, own(7)), (None, own(7)), (8, own(8)), (8, own(8)), (9, own(9) + " " + item), (10, own(10, 30_000)), (11, " \n ")]
+    sf = _write(spark, tmp_path, rows, (), [(1, item), (2, None), (3, "")])
+    got = C.run(spark, sf)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "label", "node", "low", "token_ids", "n_tokens", "round_trip"]
+    left = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in got.collect()), key=str)
+    want = [(1, own(1)), (3, own(3) + " " + passage), (4, own(4) + " "), (5, None), (6, ""), (8, own(8)), (10, own(10, 30_000)), (11, " \n ")]
+    assert left == sorted([*((False, d, t) for d, t in want), (True, 0, own(7)), (True, 0, own(7))], key=str)
+    assert all((r.label, r.node, r.low) == (1, "n", 0.5) for r in got.collect())
+
+
+def test_empty_tables(spark, tmp_path):
+    got = C.run(spark, _write(spark, tmp_path, []))
+    assert got.count() == 0 and "round_trip" in got.columns
