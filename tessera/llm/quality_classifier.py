@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +40,7 @@ _SLICE = 1 << 19
 _CHUNK = 2048
 
 _RANDOM = np.random.default_rng(3)
-_PLACE = _RANDOM.random((BUCKETS, DIM)).argsort(axis=1)[:, :NONZERO].astype(np.int64)
+_PLACE = _RANDOM.integers(0, DIM // NONZERO, (BUCKETS, NONZERO)) + DIM // NONZERO * np.arange(NONZERO)  # one in each stripe
 _SIGN = _RANDOM.choice(np.array([-1, 1], np.float32), (BUCKETS, NONZERO))
 
 _KIND = np.zeros(256, np.uint64)  # 0 other, 1 lower or beyond ASCII, 2 upper, 3 digit, else the mark itself
@@ -64,6 +65,15 @@ def stream(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, 2 * w.off
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Floats byte by byte, which a shuffle compresses far better: sums of few words differ in one byte or two."""
+    return x.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.float32).ravel()
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This task's sums of neighbours' index vectors, in blocks of _BLOCK buckets."""
     total = np.zeros(BUCKETS * DIM, np.float32)
@@ -85,7 +95,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = total.reshape(-1, _BLOCK * DIM)
     at = np.flatnonzero(parts.any(axis=1))
     for k in at:
-        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names=["block", "part"])
+        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([_planes(parts[k])], pa.binary())], names=["block", "part"])
     X.release()
 
 
@@ -93,8 +103,8 @@ def _summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     total = np.zeros(_BLOCK * DIM)
     for batch in batches:
         for part in batch.column("part"):
-            total += np.frombuffer(part.as_buffer(), np.float32)
-    yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["block", "part"])
+            total += _from_planes(part.as_buffer())
+    yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([_planes(total.astype(np.float32))], pa.binary())], names=["block", "part"])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -106,7 +116,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     parts = docs.select(F.col("text").cast("string").alias("text")).coalesce(tasks).mapInArrow(_contexts, "block int, part binary")
     out = np.zeros((BUCKETS // _BLOCK, _BLOCK * DIM), np.float32)
     for r in parts.groupBy("block").applyInArrow(_summed, "block int, part binary").toLocalIterator():
-        out[r.block] = np.frombuffer(r.part, np.float32)
+        out[r.block] = _from_planes(r.part)
     out = out.reshape(BUCKETS, DIM)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
@@ -196,10 +206,8 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], size: int) ->
     return slim.join(F.broadcast(few), "doc_id")  # of at most size rows
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray] | None]:
-    """The word vectors of docs and the network fitted on labels (doc_id, quality); None if there is nothing to fit."""
-    vectors = word_vectors(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+def train(docs: DataFrame, labels: DataFrame, shared: Broadcast) -> dict[str, np.ndarray] | None:
+    """The network fitted on labels (doc_id, quality) over broadcast word vectors; None if there is nothing to fit."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, np.
     x = np.array(got.column("x").to_pylist()).reshape(-1, WIDTH)
     y = (got.column("quality").to_numpy() > 0).astype(float)
     order = np.lexsort(np.concatenate((x.T, [got.column("doc_id").to_numpy()])))
-    return vectors, fit(x[order], y[order]) if len(set(y)) == 2 else None
+    return fit(x[order], y[order]) if len(set(y)) == 2 else None
 
 
 def scored(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -225,13 +233,13 @@ def kept(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
 
 
 def _filtered(docs: DataFrame, labels: DataFrame, keep: float, with_probability: bool) -> DataFrame:
-    vectors, network = train(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
+    shared = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
+    network = train(docs, labels, shared)  # small enough to go with the function
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema, T.StructField("quality_probability", T.DoubleType())]) if with_probability else docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, network = shared.value
+        vectors = shared.value
         for batch in batches:
             if network is None:
                 ok, p = np.ones(batch.num_rows, bool), pa.nulls(batch.num_rows, pa.float64())
