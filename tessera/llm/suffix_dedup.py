@@ -317,11 +317,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return slim.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
 
 
-def _few_or_many(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """rows joined with ids, which are broadcast if they are few."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key)
-
-
 def _around(keyed: DataFrame, places: DataFrame) -> DataFrame:
     """doc_id, rk, text and the lists pos and h of the rows that have places (h, rk, pos)."""
     lists = cut(places.groupBy("rk").agg(F.collect_set(F.struct("pos", "h")).alias("at")).select("rk", "at.pos", "at.h"))
@@ -337,7 +332,7 @@ def _runs(docs: DataFrame, hot: int) -> DataFrame:
     anchors = keyed.select("rk", "text").mapInArrow(_anchors, "h long, rk long, pos int")
     # counted first, so that an anchor of any number of places is many rows of a join and no task's own
     often = anchors.groupBy("h").agg(F.min("rk").alias("low"), F.max("rk").alias("high"), F.count("*").alias("n")).where("low < high").select("h", "n")
-    shared = cut(_few_or_many(anchors, cut(often), "h"))
+    shared = cut(anchors.join(often, "h"))
     snippets = _around(keyed, shared.where(F.col("n") <= hot)).mapInArrow(_snippets, "h long, doc_id long, rk long, start int, words binary")
     schema = "doc_id long, rk long, start int, end int, first boolean, first_doc_id long"
     runs = snippets.repartition("h").sortWithinPartitions("h").mapInArrow(_by_suffixes, schema)
