@@ -1,10 +1,11 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Each document is the set of its word n-grams. Documents of equal words are one text. Texts that agree in a band of MinHash
-values are candidates of each other; they are compared block by block: a text stands in the block of the lowest band that it
-shares, a block holds about BLOCK texts at most, and two blocks are compared once if they share a band, however many bands
-and texts that may be. So a band of a million texts is a million / BLOCK blocks over as many tasks, and no pair is ever a
-row. The MinHash values of two texts are compared STEP at a time; the pair is dropped as soon as the posterior probability
+values are candidates of each other; they are compared block by block: a text belongs to the lowest band that it shares,
+texts of bands that a text has in common are brought together MERGES times over and cut into blocks of about BLOCK texts at
+most, and two blocks are compared once if they share a band, however many bands and texts that may be. So a family of copies
+is one block, not one for each of its bands, and its texts are sent once, not once for every pair of those; a band of a
+million texts is a million / BLOCK blocks over as many tasks, and no pair is ever a row. The MinHash values of two texts are compared STEP at a time; the pair is dropped as soon as the posterior probability
 that its Jaccard similarity reaches the threshold, given the agreements so far and a uniform prior, falls below TOLERANCE.
 The pairs left are verified exactly on their n-gram sets.
 
@@ -44,6 +45,8 @@ STEP = 16
 TOLERANCE = 1e-4
 #: Texts of a block, and n-grams of them, about.
 BLOCK, BLOCK_GRAMS = 1024, 1 << 20
+#: Times that texts under different bands are brought together by the bands that they share.
+MERGES = 3
 #: Pairs that are compared at once.
 _PAIRS = 1 << 16
 _CELL = ["label_a", "part_a", "label_b", "part_b"]
@@ -288,15 +291,41 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
+def _merges(there: DataFrame) -> Iterator[DataFrame]:
+    """MERGES times: from and to, the lowest of all homes that a band joins with this one, for homes that share a band with another."""
+    ties = there.select(F.col("home0").alias("from"), F.explode("bands").alias("band")).distinct()
+    for _ in range(MERGES):
+        lowest = ties.groupBy("band").agg(F.min("from").alias("to"), F.max("from").alias("most")).where("to < most").drop("most")
+        ties = cut(ties.join(lowest, "band"))  # few: most bands have one home alone
+        to = ties.groupBy("from").agg(F.min("to").alias("to"))
+        yield to
+        ties = ties.drop("to").join(to, "from").select(F.col("to").alias("from"), "band").distinct()
+
+
+def _placed(there: DataFrame) -> DataFrame:
+    """home0, label, first and parts: the blocks of a label that a home's texts are spread over. A home of over half a block
+    has blocks of its own; smaller ones are put together, those first that were brought together first."""
+    homes = there.groupBy("home0").agg(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_GRAMS).alias("weight"))
+    for k, to in enumerate(_merges(there)):
+        homes = homes.join(to.withColumnRenamed("from", f"home{k}"), f"home{k}", "left").withColumn(f"home{k + 1}", F.coalesce("to", f"home{k}")).drop("to")
+    label, own = F.col(f"home{MERGES}").alias("label"), F.col("weight") > 0.5
+    of = Window.partitionBy(f"home{MERGES}")
+    before = of.orderBy(own.desc(), *(f"home{k}" for k in reversed(range(MERGES)))).rowsBetween(Window.unboundedPreceding, -1)
+    room = F.when(own, F.ceil("weight").cast("double")).otherwise(F.col("weight"))
+    several = F.sum("weight").over(of) > 1
+    first = F.when(several, F.floor(F.coalesce(F.sum(room).over(before), F.lit(0.0)))).otherwise(0).alias("first")
+    return homes.select("home0", label, first, F.when(several & own, F.ceil("weight")).otherwise(1).alias("parts"))
+
+
 def _blocks(nodes: DataFrame) -> DataFrame:
     """label, part and bands of the nodes that share a band with another, beside their own columns."""
     bands = nodes.select("node", "sig").mapInArrow(_bands, "band long, node long")
     shared = bands.groupBy("band").count().where("count > 1").select("band")
-    of = bands.join(shared, "band").groupBy("node").agg(F.collect_set("band").alias("bands"), F.min("band").alias("label"))  # BANDS at most
+    of = bands.join(shared, "band").groupBy("node").agg(F.collect_set("band").alias("bands"), F.min("band").alias("home0"))  # BANDS at most
     there = cut(nodes.join(of, "node"))
-    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_GRAMS))
-    large = there.groupBy("label").agg(parts.alias("parts")).where("parts > 1")
-    return cut(_beside(there, large, "label", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), "parts"), F.lit(0)).cast("int")).drop("parts"))
+    moved = _beside(there, _placed(there).where("label <> home0 OR first > 0 OR parts > 1"), "home0", "left")
+    part = F.coalesce(F.col("first") + F.pmod(F.xxhash64("node"), "parts"), F.lit(0)).cast("int")
+    return cut(moved.withColumn("label", F.coalesce("label", "home0")).withColumn("part", part).drop("home0", "first", "parts"))
 
 
 def _links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:

@@ -1,5 +1,6 @@
 """The n-gram Jaccard join against brute force over all pairs."""
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -104,6 +105,53 @@ def _nodes(spark, rows):
     return sketches.selectExpr("node", "size", "sig", "doc_id AS low")
 
 
+def families(rng, several, size, share):
+    """Texts of families, each of so many copies of one text in which that share of the words is another."""
+    rows = []
+    for f in range(several):
+        base = [f"f{f}w{k}" for k in range(120)]
+        for _ in range(size):
+            copy = list(base)
+            for k in np.flatnonzero(rng.random(len(copy)) < share):
+                copy[k] = f"n{rng.integers(10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+def copies(homes):
+    """How many rows go to the cells of blocks, and the blocks' sizes."""
+    sizes, touching = Counter((r.label, r.part) for r in homes), {}
+    for r in homes:
+        for band in r.bands:
+            touching.setdefault(band, set()).add((r.label, r.part))
+    cells = {p for blocks in touching.values() for p in combinations(sorted(blocks), 2)}
+    return sum(sizes[a] + sizes[b] for a, b in cells) + sum(n for n in sizes.values() if n > 1), sizes
+
+
+def test_a_family_of_copies_is_sent_once_however_many_bands_it_has(spark):
+    """Were each lowest band a block, a family would be sent once for every pair of its bands."""
+    rows = families(np.random.default_rng(9), 12, 60, 0.07)
+    homes = N._blocks(_nodes(spark, rows)).collect()
+    sent, sizes = copies(homes)
+    assert len(homes) > 0.95 * len(rows) and sent < 1.3 * len(homes) and len(sizes) < 3 * 12
+
+
+def test_blocks_that_were_brought_together_are_cut_again_and_lose_no_link(spark, monkeypatch):
+    """Of two families that are larger than a block, every pair that shares a band and isn't pruned is linked."""
+    monkeypatch.setattr(N, "BLOCK", 32)
+    rows = families(np.random.default_rng(3), 2, 150, 0.05)
+    homes = sorted(N._blocks(_nodes(spark, rows)).collect(), key=lambda r: r.low)
+    sizes = copies(homes)[1]
+    assert max(sizes.values()) < 2 * 32 and len(sizes) < 3 * len(homes) / 32
+    near = brute(rows)
+    a, b = np.array([(x, y) for x, y in combinations(range(len(homes)), 2) if (homes[x].low, homes[y].low) in near and not {*homes[x].bands}.isdisjoint(homes[y].bands)]).T
+    left = N.survives(N.in_steps(np.stack([np.frombuffer(r.sig, np.uint16) for r in homes])), a, b)
+    assert left.mean() > 0.99
+    sure = Counter(homes[x].low for x in np.concatenate((a[left], b[left])))
+    got, want = result(spark, rows), wanted(rows)
+    assert got.keys() == want.keys() and all(got[d][:2] == want[d][:2] and sure[d] <= got[d][2] <= want[d][2] for d in want)
+
+
 def test_either_way_of_counting_gives_what_sets_have_in_common():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 60, int(n))) for n in rng.integers(1, 80, 40)]
