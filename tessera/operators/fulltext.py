@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from tessera.plans.spread import spread
 
 K1, B = 1.2, 0.75
 MAX_DEPTH = 64
+#: Tokens whose postings are made at once; a longer text is a slice of its own.
+SLICE_TOKENS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -207,19 +210,30 @@ class DocRows:
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_row_id, term, tf, positions, dl) of rows (_row_id, tokens)."""
+    """(_row_id, term, tf, positions, dl) of rows (_row_id, tokens), slice by slice of a batch."""
     for batch in batches:
-        lists = batch.column(1)
-        dl = np.diff(lists.offsets.to_numpy()) if not lists.null_count else np.array([len(x) if x.is_valid else 0 for x in lists])
-        coded = lists.flatten().dictionary_encode()
-        row, code = np.repeat(np.arange(len(dl)), dl), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(dl) - dl, dl)
-        order = np.argsort(row * np.int64(len(coded.dictionary) + 1) + code, kind="stable")
-        row, code, at = row[order], code[order], at[order]
-        new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))) if len(row) else np.zeros(0, np.int64)
-        ends = np.append(new, len(row))
-        positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
-        yield pa.record_batch([batch.column(0).take(pa.array(row[new])), coded.dictionary.take(pa.array(code[new])), pa.array(np.diff(ends), pa.int32()), positions, pa.array(dl[row[new]], pa.int32())], names=["_row_id", "term", "tf", "positions", "dl"])
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < batch.num_rows:
+            before = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, "right")))
+            yield _posted(batch.slice(a, b - a), np.diff(ends[a:b], prepend=before))
+            a = b
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def _posted(batch: pa.RecordBatch, dl: np.ndarray) -> pa.RecordBatch:
+    """The postings of rows of dl tokens each."""
+    coded = batch.column(1).flatten().dictionary_encode()
+    row, code = np.repeat(np.arange(len(dl)), dl), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(dl) - dl, dl)
+    order = np.argsort(row * np.int64(len(coded.dictionary) + 1) + code, kind="stable")
+    row, code, at = row[order], code[order], at[order]
+    new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))) if len(row) else np.zeros(0, np.int64)
+    ends = np.append(new, len(row))
+    positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
+    return pa.record_batch([batch.column(0).take(pa.array(row[new])), coded.dictionary.take(pa.array(code[new])), pa.array(np.diff(ends), pa.int32()), positions, pa.array(dl[row[new]], pa.int32())], names=["_row_id", "term", "tf", "positions", "dl"])
 
 
 class PostingRows:

@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,17 @@ def source(spark, request):
     return T.PostingRows(T.PostingRows.build(docs, {"text": "standard"}), {"text": (4, 13)}, docs, {"text": "standard"})
 
 
+def test_postings_are_made_in_slices_of_tokens(monkeypatch):
+    rng = random.Random(4)
+    tokens = [None if k % 7 == 3 else [f"w{rng.randint(0, 9)}" for _ in range(60 if k == 20 else rng.randint(0, 6))] for k in range(90)]
+    batch = pa.record_batch([pa.array(range(95)), pa.array([["z"]] * 5 + tokens)], names=["_row_id", "t"]).slice(5)
+    monkeypatch.setattr(T, "SLICE_TOKENS", 25)
+    got = list(T._postings(iter([batch.slice(0, 0), batch])))
+    assert max(sum(x.column("tf").to_pylist()) for x in got if len(set(x.column("_row_id").to_pylist())) > 1) <= 25
+    want = sorted((k + 5, w, t.count(w), [j for j, x in enumerate(t) if x == w], len(t)) for k, t in enumerate(tokens) if t for w in set(t))
+    assert sorted(tuple(r.values()) for x in got for r in x.to_pylist()) == want
+
+
 def test_specs(source):
     found = lambda spec: ids(T.search(source, spec, 10).select("_row_id"))
     m = lambda text, **p: T.Match("text", text, TextParams(**p))
