@@ -51,14 +51,21 @@ def promising(metric: str, vectors: np.ndarray, queries: np.ndarray, k: int, lea
     """
     if metric == "l2":
         a, b = np.square(vectors).sum(1), np.square(queries).sum(1)
-        d = a[:, None] + b[None] - 2 * (vectors @ queries.T)
-        about, slack = 1 / (1 + np.maximum(d, 0)), 1e-9 * (1 + a.max(initial=0) + b.max(initial=0))
+        about = queries @ vectors.T
+        about *= 2
+        about -= a[None]
+        about -= b[:, None]  # less the squared distance
+        least, slack = np.where(least > 0, 1 - 1 / np.where(least > 0, least, 1), -np.inf), 1e-9 * (1 + a.max(initial=0) + b.max(initial=0))
     else:
-        about = scores(metric, vectors, queries)
+        about = scores(metric, vectors, queries).T
         slack = 1e-9 * (1 + np.abs(about).max(initial=0))
-    if len(vectors) > k:
-        least = np.maximum(least, np.partition(about, len(vectors) - k, axis=0)[len(vectors) - k])
-    return np.nonzero(about >= least[None] - slack)
+    some = about >= least[:, None] - slack
+    many = np.flatnonzero(np.count_nonzero(some, axis=1) > 4 * k) if len(vectors) > k else np.zeros(0, np.int64)
+    if len(many):
+        near = about[many]
+        some[many] &= near >= np.partition(near, len(vectors) - k, axis=1)[:, len(vectors) - k, None] - slack
+    query, row = np.nonzero(some)
+    return row, query
 
 
 def normalized(vectors: np.ndarray) -> np.ndarray:

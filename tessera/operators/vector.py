@@ -18,8 +18,9 @@ from tessera.config import metric as canonical
 from tessera.config import top_k
 from tessera.functions import metrics
 
-#: Query vectors that go with one pass over the table; more are searched in several. Rows that are scored at once.
-QUERIES, ROWS = 4_096, 1_024
+#: Query vectors that go with one pass over the table; more are searched in several. Rows that are scored at once, and for
+#: how many of the queries; pairs of them whose vectors are laid side by side.
+QUERIES, ROWS, BLOCK, PAIRS = 4_096, 1_024, 256, 1 << 14
 
 
 def matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -40,6 +41,18 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -score[some]))[:k]]
 
 
+def first(who: np.ndarray, k: int) -> np.ndarray:
+    """Which places are among the first k of their run of equal values."""
+    begin = np.flatnonzero(np.diff(who, prepend=-1))
+    return np.arange(len(who)) - np.repeat(begin, np.diff(begin, append=len(who))) < k
+
+
+def exact(metric: str, vectors: np.ndarray, row: np.ndarray, queries: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """The score of each pair (row, query), PAIRS at a time."""
+    each = [metrics.paired(metric, vectors[row[a : a + PAIRS]], queries[query[a : a + PAIRS]]) for a in range(0, len(row), PAIRS)]
+    return np.concatenate(each) if each else np.zeros(0)
+
+
 def restricted(df: DataFrame, candidates: DataFrame | Iterable[int] | None, id_column: str = "_row_id") -> DataFrame:
     """df's rows among the candidates, before any search; duplicates and unknown ids don't matter."""
     if candidates is None:
@@ -84,22 +97,25 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_
 
         def nearest(batches: Iterator[pa.RecordBatch], shared=shared, dimension=dimension) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
-            who, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            blocks = range(0, len(names), BLOCK)
+            kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))] * len(blocks)  # query, row id and score
             least = np.full(len(names), -np.inf)  # the k-th best score of each query so far
             for batch in batches:
-                if not len(names):
-                    continue
-                all_ids, x = batch.column(0).to_numpy(), matrix(batch.column(1), dimension)
-                for a in range(0, len(x), ROWS):
-                    row, j = metrics.promising(how, x[a : a + ROWS], q, k, least)
-                    who, ids = np.concatenate((who, j)), np.concatenate((ids, all_ids[a + row]))
-                    score = np.concatenate((score, metrics.paired(how, x[a + row], q[j])))
-                    order = np.lexsort((ids, -score, who))
-                    rank = np.arange(len(order)) - np.searchsorted(who[order], who[order])
-                    order = order[rank < k]
-                    who, ids, score = who[order], ids[order], score[order]
-                    full = np.flatnonzero(np.bincount(who, minlength=len(names)) == k)
-                    least[full] = score[np.searchsorted(who, full, "right") - 1]
+                all_ids = batch.column(0).to_numpy()
+                for a in range(0, batch.num_rows if len(names) else 0, ROWS):
+                    x = matrix(batch.column(1).slice(a, ROWS), dimension)
+                    for n, begin in enumerate(blocks):
+                        some, limit = q[begin : begin + BLOCK], least[begin : begin + BLOCK]
+                        row, j = metrics.promising(how, x, some, k, limit)
+                        if not len(row):
+                            continue
+                        who, ids, score = map(np.concatenate, zip(kept[n], (j, all_ids[a + row], exact(how, x, row, some, j))))
+                        order = np.lexsort((ids, -score, who))
+                        order = order[first(who[order], k)]
+                        who, ids, score = kept[n] = who[order], ids[order], score[order]
+                        full = np.flatnonzero(np.bincount(who, minlength=len(some)) == k)
+                        limit[full] = score[np.searchsorted(who, full, "right") - 1]
+            who, ids, score = map(np.concatenate, zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *((w + begin, i, s) for begin, (w, i, s) in zip(blocks, kept))))
             yield pa.record_batch([pa.array(names[who]), pa.array(ids), pa.array(score)], names=["query_id", "_row_id", "score"])
 
         one = rows.mapInArrow(nearest, "query_id long, _row_id long, score double")

@@ -202,6 +202,32 @@ def test_batches_of_queries_in_slices(spark, monkeypatch):
         assert {(r.query_id, r._row_id) for r in vector.knn_batch(df, q, 3).collect()} == want
 
 
+@pytest.mark.parametrize("how", ["l2", "dot_product", "inner_product", "cosine"])
+def test_batches_of_queries_in_blocks_with_ties_far_and_zero_vectors(spark, monkeypatch, how):
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.normal(size=(60, 4)), np.full((30, 4), 2.0), np.zeros((3, 4)), 1e6 + rng.normal(size=(20, 4))))
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "_row_id long, vector array<double>")
+    asked = df.withColumnRenamed("_row_id", "query_id")
+    for name, value in (("BLOCK", 7), ("ROWS", 11), ("PAIRS", 13)):
+        monkeypatch.setattr(vector, name, value)
+    got = {(r.query_id, r["rank"]): r._row_id for r in vector.knn_batch(df, asked, 4, how).collect()}
+    score = metrics.paired(how, np.tile(x, (len(x), 1)), np.repeat(x, len(x), axis=0)).reshape(len(x), -1)
+    assert got == {(k, n + 1): int(j) for k in range(len(x)) for n, j in enumerate(np.lexsort((np.arange(len(x)), -score[k]))[:4])}
+
+
+def test_a_search_in_blocks_lays_few_vectors_side_by_side(spark, monkeypatch):
+    """Equal rows are all promising; they were scored at once, a vector for each row of a block and each query."""
+    wide = []
+    one = metrics.paired
+    monkeypatch.setattr(metrics, "paired", lambda how, v, q: (wide.append(len(v)), one(how, v, q))[1])
+    monkeypatch.setattr(vector, "PAIRS", 100)
+    x = np.ones((300, 2))
+    row, j = metrics.promising("l2", x, x[:40], 3, np.full(40, -np.inf))
+    assert len(row) == 300 * 40 and (vector.exact("l2", x, row, x, j) == 1).all()
+    assert max(wide) == 100
+
+
 def test_codes():
     x = np.random.default_rng(1).normal(size=(50, 33))
     x[0] = 0
