@@ -23,7 +23,7 @@ from tessera.config import metric as canonical
 from tessera.config import top_k
 from tessera.functions import metrics
 from tessera.functions.quantize import BITS, Codes, packed, products, quantize, restored, rotation, unpacked
-from tessera.operators.vector import QUERIES, best, knn, knn_batch, matrix, rescored, restricted
+from tessera.operators.vector import QUERIES, best, exact, first, knn, knn_batch, matrix, rescored, restricted
 from tessera.plans.lineage import cut
 
 VECTORS_PER_CLUSTER, LEAST_PER_CLUSTER = 384, 64
@@ -37,6 +37,9 @@ SOAR = 1.0
 _STATE = "_row_id long, vector array<double>, cluster_id long, parent_id long"
 #: Sample rows, and the neighbours of each, by which the share to visit is found; the share of them to be reached.
 PROBES, NEIGHBOURS, TARGET = 64, 10, 0.97
+#: Of a batched search: scores that are found at once, and those above their query's floor that wait to be sorted; bytes of
+#: vectors that a task holds.
+SCORES, WAITING, TASK_BYTES = 1 << 20, 1 << 19, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -354,6 +357,49 @@ def search(index: Ivf, query, k: int, ratio: float | None = None, n_probe: int |
     return exact.limit(k)
 
 
+def _order(how: str, centroids: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """What ranks the clusters (columns) of each query as their scores do, by one product of matrices."""
+    out = queries @ centroids.T
+    if how == "l2":
+        out *= 2
+        out -= np.square(centroids).sum(1)
+    elif how != "inner_product":
+        np.maximum(out, -1, out=out)  # the score is 0 below
+    return out
+
+
+class _Tops:
+    """The most best places of each of n queries among the scores that are added."""
+
+    def __init__(self, n: int, most: int) -> None:
+        self.most, self.floor, self.waiting = most, np.full(n, -np.inf), 0
+        self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]  # query, place, score
+
+    def add(self, here: np.ndarray, score: np.ndarray, begin: int) -> None:
+        """The scores of the places from begin on (columns) for the queries here (rows)."""
+        at = np.flatnonzero(score > self.floor[here, None])
+        row, column = np.divmod(at, score.shape[1])
+        self.parts.append((here[row], begin + column, score.ravel()[at]))
+        self.waiting += len(at)
+        if self.waiting > WAITING:
+            self.fold()
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sort what waits, and raise the floors; the queries and places that are left."""
+        who, place, score = map(np.concatenate, zip(*self.parts))
+        # by query and falling score as one integer, which sorts many times faster; scores go without their last bits
+        bits = max(len(self.floor).bit_length(), 1)
+        raw = score.view(np.int64)
+        falling = ~(raw ^ (raw >> 63 & np.int64(2**63 - 1))).view(np.uint64) ^ np.uint64(1 << 63)
+        order = np.argsort(who.astype(np.uint64) << np.uint64(64 - bits) | falling >> np.uint64(bits))
+        order = order[first(who[order], self.most)]
+        who, place, score = who[order], place[order], score[order]
+        full = np.flatnonzero(np.bincount(who, minlength=len(self.floor)) == self.most)
+        self.floor[full] = score[np.searchsorted(who, full, "right") - 1]
+        self.parts, self.waiting = [(who, place, score)], 0
+        return who, place
+
+
 def search_batch(index: Ivf, queries: DataFrame, k: int, oversample: float = 3.0) -> DataFrame:
     """query_id, _row_id, score, rank: about the k nearest rows of every row (query_id, vector) of queries.
 
@@ -383,16 +429,17 @@ def search_batch(index: Ivf, queries: DataFrame, k: int, oversample: float = 3.0
             q = q if turn is None else q @ turn
             least = np.zeros(len(q))
             for a in range(0, len(q) if len(size) else 0, 256):
-                score = metrics.scores(how, where, q[a : a + 256])
-                order = np.argsort(-score, axis=0, kind="stable")
-                last = np.minimum((np.cumsum(size[order], axis=0) < budget).sum(axis=0), len(size) - 1)
-                at = np.arange(score.shape[1])
-                least[a : a + 256] = score[order[last, at], at]
+                score = _order(how, where, q[a : a + 256])
+                order = np.argsort(-score, axis=1, kind="stable")
+                last = np.minimum((np.cumsum(size[order], axis=1) < budget).sum(axis=1), len(size) - 1)
+                at = np.arange(len(score))
+                least[a : a + 256] = score[at, order[at, last]]
             yield pa.record_batch([batch.column(0), _vectors(q), pa.array(least)], names=["query_id", "vector", "least"])
 
     asked = cut(asked.mapInArrow(limits, "query_id long, vector array<double>, least double"))
     postings = index.postings.join(index.centroids.select("cluster_id", "centroid"), "cluster_id")
-    postings = cut(postings.repartition("cluster_id").sortWithinPartitions("cluster_id").select("cluster_id", "_row_id", "code", "low", "high", "square", "vector", "centroid"))
+    tasks = max(context.defaultParallelism, math.ceil(size.sum() * dimension * 8 / TASK_BYTES))
+    postings = cut(postings.repartition(tasks, "cluster_id").sortWithinPartitions("cluster_id").select("cluster_id", "_row_id", "code", "low", "high", "square", "vector", "centroid"))
     parts = max(1, math.ceil(asked.count() / QUERIES))
     out = None
     for part in range(parts):
@@ -401,39 +448,45 @@ def search_batch(index: Ivf, queries: DataFrame, k: int, oversample: float = 3.0
 
         def visit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q, least = shared.value
+            least = least - 1e-12 * np.square(q).sum(1)  # what rounding may hide
             ids, vectors, passed = [np.zeros(0, np.int64)], [np.zeros((0, dimension))], 0
-            kept, place = np.full((len(q), 2 * wanted), -np.inf), np.full((len(q), 2 * wanted), -1)  # a row may stand in two clusters
+            tops = _Tops(len(q), 2 * wanted)  # a row may stand in two clusters
             for batch in batches:
                 if not batch.num_rows or not len(q):
                     continue
                 data = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                near = matrix(batch.column(7), dimension)
-                x = near + restored(Codes(unpacked(data, bits, dimension), *(batch.column(j).to_numpy() for j in (3, 4, 5))), bits)
                 cluster = batch.column(0).to_numpy()
                 begin = np.flatnonzero(np.concatenate(([True], cluster[1:] != cluster[:-1])))
-                score = metrics.scores(how, near[begin], q)
+                near = matrix(batch.column(7), dimension)
+                x = near + restored(Codes(unpacked(data, bits, dimension), *(batch.column(j).to_numpy() for j in (3, 4, 5))), bits)
+                near = near[begin]
+                visited = (_order(how, near, q) + 1e-12 * np.square(near).sum(1) >= least[:, None]).T.copy()
+                square = np.square(x).sum(1)
                 for j, (a, b) in enumerate(zip(begin, np.append(begin[1:], len(cluster)))):
-                    here = np.flatnonzero(score[j] >= least - 1e-12 * np.abs(least))
-                    new = q[here] @ x[a:b].T  # in the order of the scores
-                    new = 2 * new - np.square(x[a:b]).sum(1) if how == "l2" else new
-                    new = np.concatenate((kept[here], new), axis=1)
-                    at = np.concatenate((place[here], np.broadcast_to(passed + np.arange(a, b), (len(here), b - a))), axis=1)
-                    top = np.argpartition(-new, 2 * wanted - 1, axis=1)[:, : 2 * wanted]
-                    kept[here], place[here] = np.take_along_axis(new, top, 1), np.take_along_axis(at, top, 1)
+                    here = np.flatnonzero(visited[j])
+                    if not len(here):
+                        continue
+                    asking, step = q[here], max(1, SCORES // len(here))
+                    for c in range(a, b, step):
+                        to = min(b, c + step)
+                        new = asking @ x[c:to].T  # in the order of the scores
+                        if how == "l2":
+                            new *= 2
+                            new -= square[c:to]
+                        tops.add(here, new, passed + c)
                 ids.append(batch.column(1).to_numpy())
                 vectors.append(matrix(batch.column(6), dimension))
                 passed += batch.num_rows
             i, v = np.concatenate(ids), np.concatenate(vectors)
-            who, row, exact = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-            for name, x, at in zip(names, q, place):
-                at = at[at >= 0]
-                at = at[np.unique(i[at], return_index=True)[1]]
-                score = metrics.scores(how, v[at], x)
-                top = best(score, i[at], k)
-                who.append(np.full(len(top), name))
-                row.append(i[at][top])
-                exact.append(score[top])
-            yield pa.record_batch([pa.array(np.concatenate(z)) for z in (who, row, exact)], names=["query_id", "_row_id", "score"])
+            who, place = tops.fold()
+            order = np.lexsort((i[place], who))
+            who, place = who[order], place[order]
+            once = np.flatnonzero((np.diff(who, prepend=-1) != 0) | (np.diff(i[place], prepend=-1) != 0))
+            who, place = who[once], place[once]
+            score = exact(how, v, place, q, who)
+            order = np.lexsort((i[place], -score, who))
+            order = order[first(who[order], k)]
+            yield pa.record_batch([pa.array(names[who[order]]), pa.array(i[place[order]]), pa.array(score[order])], names=["query_id", "_row_id", "score"])
 
         one = postings.mapInArrow(visit, "query_id long, _row_id long, score double")
         out = one if out is None else out.unionByName(one)

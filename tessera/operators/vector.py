@@ -20,7 +20,7 @@ from tessera.functions import metrics
 
 #: Query vectors that go with one pass over the table; more are searched in several. Rows that are scored at once, and for
 #: how many of the queries; pairs of them whose vectors are laid side by side.
-QUERIES, ROWS, BLOCK, PAIRS = 4_096, 1_024, 256, 1 << 14
+QUERIES, ROWS, BLOCK, PAIRS = 4_096, 1_024, 256, 1 << 11
 
 
 def matrix(column: pa.Array, dimension: int) -> np.ndarray:

@@ -296,6 +296,29 @@ def test_batched_clustered_search_recalls_all_rows(spark, how, rotate, bits, spi
     assert got.where("query_id = 5 AND rank = 1").first()._row_id == 5
 
 
+def test_tops_sort_only_what_is_above_the_floor(monkeypatch):
+    """The best of each query as by a full sort, while few scores are sorted once the floors are up."""
+    monkeypatch.setattr(ivf, "WAITING", 2_000)
+    score = np.random.default_rng(6).normal(size=(20, 9_000))
+    score[3], score[4, :50], score[5] = 0, 1e300, -np.abs(score[5])
+    tops, kept = ivf._Tops(20, 6), 0
+    for a in range(0, 9_000, 100):
+        before = tops.waiting
+        tops.add(np.arange(20), score[:, a : a + 100], a)
+        kept += max(tops.waiting - before, 0)
+    who, place = tops.fold()
+    assert np.bincount(who).tolist() == [6] * 20 and kept < 20 * 9_000 / 10
+    for q in range(20):
+        assert sorted(score[q, place[who == q]]) == sorted(score[q])[-6:]
+
+
+@pytest.mark.parametrize("how", ["l2", "dot_product", "inner_product"])
+def test_clusters_are_ranked_by_products_as_by_scores(how):
+    rng = np.random.default_rng(7)
+    c, q = rng.normal(size=(40, 6)), rng.normal(size=(9, 6))
+    assert (np.argsort(-ivf._order(how, c, q), axis=1, kind="stable") == np.argsort(-metrics.scores(how, c, q).T, axis=1, kind="stable")).all()
+
+
 @pytest.mark.parametrize("name", ["knn_ivf", "knn_int8"])
 def test_registered_approximate_searches_take_every_row_as_query(spark, name):
     folder = "/root/testdata/sf0.001"
